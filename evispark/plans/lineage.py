@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the session's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` wins. A private folder is used
+    The folder named by ``spark.checkpoint.dir`` wins.  A private folder is used
     only where none is set, as in a local test session.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evispark-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evispark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder; for small tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as compressed Parquet and read again.
+
+    For tables that several branches of a plan read: they are computed once,
+    and a lost executor costs no more than reading files again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
