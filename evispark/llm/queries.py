@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import lookalikes, pieces, spans, tokens
+from evispark.llm import leaks, lookalikes, pieces, spans, tokens
 from evispark.queries.general import nodes_of
 from evispark.sources import load
 
@@ -79,7 +79,15 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(load(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shared, p5_found, p5_pieces, p6_found, p6_texts, p7_ids)}
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked_items(load(spark, sf, "documents"), load(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_leaks(spark, sf).where(F.col("n_words") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shared, p5_found, p5_pieces, p6_found, p6_texts, p7_ids, p8_found, p8_leaks)}
 ORACLE: dict[str, str] = {
     "p5_found": """
 with p as (select source_id, page, any_value(text) as text from pages group by source_id, page),

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.llm.codepoints import chunks, decode
+from evispark.plans import staged
 
 SPAN, K = 200, 100
 #: a seed in up to so many records pairs them all; beyond it, windows do (exactly)
@@ -122,13 +123,12 @@ def seed_places(points: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tupl
     return np.concatenate(rows), np.concatenate(places), np.concatenate(values)
 
 
-def seeds(records: DataFrame, span: int = SPAN, k: int = K, context: bool = True) -> DataFrame:
-    """(rec, seed, place[, left, text]) of each record's seeds; ``records`` has (rec, text).
+def seeds(records: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """(rec, seed, place) of each record's seeds; ``records`` has (rec, text).
 
-    ``text`` is the k-mer with up to span - k characters on either side, of
-    which ``left`` stand before it.  Null texts and texts below ``span`` have none.
+    Null texts and texts below ``span`` characters have none.
     """
-    around, w = span - k, span - k + 1
+    w = span - k + 1
     kind = records.schema["rec"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,38 +137,59 @@ def seeds(records: DataFrame, span: int = SPAN, k: int = K, context: bool = True
             for part in chunks(batch.column(1)):
                 owners = batch.column(0).slice(at, len(part))
                 at += len(part)
-                points, offsets = decode(part)
-                rows, places, values = seed_places(points, offsets, k, w)
-                columns = [owners.take(pa.array(rows)), pa.array(values.view(np.int64)), pa.array(places, pa.int32())]
-                if context:
-                    whole = points.astype("<u4").tobytes()
-                    start = np.maximum(places - around, 0)
-                    end = np.minimum(places + k + around, (offsets[1:] - offsets[:-1])[rows])
-                    base = offsets[rows]
-                    texts = [whole[a:b].decode("utf-32-le") for a, b in zip((4 * (base + start)).tolist(), (4 * (base + end)).tolist())]
-                    columns += [pa.array(places - start, pa.int32()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["rec", "seed", "place", "left", "text"][: len(columns)])
-
-    schema = f"rec {kind}, seed long, place int" + (", left int, text string" if context else "")
-    return records.select("rec", "text").mapInArrow(run, schema)
+                rows, places, values = seed_places(*decode(part), k, w)
+                yield pa.RecordBatch.from_arrays([owners.take(pa.array(rows)), pa.array(values.view(np.int64)), pa.array(places, pa.int32())], ["rec", "seed", "place"])
+
+    return records.select("rec", "text").mapInArrow(run, f"rec {kind}, seed long, place int")
+
+
+def surroundings(records: DataFrame, occurrences: DataFrame, span: int, k: int) -> DataFrame:
+    """(rec, seed, place, hot, left, text): occurrences with the text around them.
+
+    ``text`` is the k-mer with up to span - k characters on either side, of
+    which ``left`` stand before it.  A record's places meet its text as one
+    list, which the text's length bounds, so a text is read once however many
+    places it has.
+    """
+    around = span - k
+    kind = records.schema["rec"].dataType.simpleString()
+    places = occurrences.groupBy("rec").agg(F.collect_list(F.struct("seed", "place", "hot")).alias("at"))
+    names = ["rec", "seed", "place", "hot", "left", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 64):
+                part = batch.slice(low, 64)
+                lists = part.column(2)
+                seed, place, hot = lists.flatten().flatten()
+                counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+                starts = place.to_numpy(zero_copy_only=False)
+                left = np.minimum(starts, around)
+                owners = np.repeat(np.arange(len(part)), counts)
+                whole = part.column(1).to_pylist()
+                texts = [whole[o][a - b : a + k + around] for o, a, b in zip(owners.tolist(), starts.tolist(), left.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), seed, place, hot, pa.array(left, pa.int32()), pa.array(texts, pa.string())], names)
+
+    joined = records.select("rec", "text").join(places, "rec")
+    return joined.mapInArrow(run, f"rec {kind}, seed long, place int, hot boolean, left int, text string")
 
 
 def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int = DIRECT) -> DataFrame:
-    """(rec_a, rec_b, place_a, place_b, k, before, after): matches of seeds of two records.
+    """(rec_a, rec_b, place_a, place_b, before, after): matches of seeds of two records.
 
     ``before`` and ``after`` are the characters by which the match extends on
     each side, at most span - k.  rec_a < rec_b.
     """
-    light = seeds(records, span, k, context=False)
-    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n")).where("low < high").select("seed", (F.col("n") > direct).alias("hot"))
-    met = seeds(records, span, k).join(shared, "seed")
+    light = seeds(records, span, k).repartition("seed")  # one exchange serves the counts and the occurrences
+    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n")).where("low < high")
+    occurrences = light.join(shared.select("seed", (F.col("n") > direct).alias("hot")), "seed")
+    met = staged(surroundings(records, occurrences, span, k))
 
     few = met.where("not hot").select("seed", "rec", "place", "left", "text")
     a = few.select("seed", *[F.col(c).alias(f"{c}_a") for c in ("rec", "place", "left", "text")])
     b = few.select("seed", *[F.col(c).alias(f"{c}_b") for c in ("rec", "place", "left", "text")])
     pairs = a.join(b, "seed").where("rec_a < rec_b").drop("seed")
-
-    return _extended(pairs.unionByName(_hot_pairs(met.where("hot"), span)), k)
+    return _extended(pairs.unionByName(_hot_pairs(met.where("hot").drop("hot"), span)), k)
 
 
 def _hot_pairs(hot: DataFrame, span: int) -> DataFrame:
