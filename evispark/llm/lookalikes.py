@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.codepoints import chunks, decode, encode
+from evispark.plans import staged
 
 # Letters drawn like Latin letters.
 CYRILLIC = {
@@ -225,12 +226,13 @@ def look_alike_pairs(records: DataFrame) -> DataFrame:
 
     ``records`` has (field, key, text); other columns are ignored.  Repeated
     rows of a key count once, null texts are no case, an empty table gives none.
-    Texts travel as 128-bit digests only.  Classes in which all texts are
+    Texts travel as 128-bit digests only, which are staged, so that each text
+    is brought to its form once.  Classes in which all texts are
     stored alike leave before any pair is made, and pairs are made between
     distinct texts, so identical copies meet nothing but what the result holds.
     """
     digest = lambda c: F.unhex(F.md5(c))
-    rows = (
+    rows = staged(
         records.where(F.col("text").isNotNull())
         .select("field", "key", digest(F.col("text")).alias("stored"), digest(one_form(F.col("text"))).alias("form"))
         .groupBy("field", "key")
