@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import leaks, lookalikes, pieces, spans, tokens
+from evispark.llm import abuse, leaks, lookalikes, pieces, spans, tokens
 from evispark.queries.general import nodes_of
 from evispark.sources import load
 
@@ -87,7 +87,21 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_leaks(spark, sf).where(F.col("n_words") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shared, p5_found, p5_pieces, p6_found, p6_texts, p7_ids, p8_found, p8_leaks)}
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.score_documents(load(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_scores(spark, sf).where("review").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    documents = load(spark, sf, "documents")
+    scored = abuse.score_documents(documents, keep=("source",))
+    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("review").alias("n_review"), F.avg(F.col("review").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shared, p5_found, p5_pieces, p6_found, p6_texts, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {
     "p5_found": """
 with p as (select source_id, page, any_value(text) as text from pages group by source_id, page),
