@@ -72,7 +72,7 @@ class Searchable:
         at, n = 0, len(source)
         while at < n:
             stop = at + 1
-            while stop < n and unicodedata.combining(source[stop]):
+            while stop < n and source[stop] >= "\u0300" and unicodedata.combining(source[stop]):
                 stop += 1
             shown = "-" if source[at] == "\xad" and _SOFT_BREAK.match(source, stop) else _visible(source[at:stop])
             for c in shown:
@@ -119,12 +119,19 @@ class Searchable:
         return self.starts[start], self.ends[start + length - 1]
 
 
+@functools.lru_cache(maxsize=10_000)
 def _visible(cluster: str) -> str:
     kept = "".join(c for c in cluster if unicodedata.category(c) != "Cf" and (c.isspace() or unicodedata.category(c) != "Cc"))
     folded = unicodedata.normalize("NFKC", kept).translate(_PUNCTUATION)
     return "".join(c for c in folded if unicodedata.category(c) != "Cf").casefold()
 
 
+@functools.lru_cache(maxsize=4)
+def searchable(text: str, join_words: bool = True) -> Searchable:
+    """The last few texts' forms: several queries often look at one text in turn."""
+    return Searchable(text, join_words)
+
+
 def search_text(text: str) -> str:
     """The searchable form with single blanks and none at the ends."""
     return " ".join(Searchable(text).text.split())
@@ -137,7 +144,7 @@ def query_text(text: str) -> str:
 
 def literal_spans(text: str, query: str) -> list[tuple[int, int]]:
     """Spans in ``text`` of the query's wording that do not begin or end inside a word or number."""
-    needle, where = search_text(query), Searchable(text)
+    needle, where = search_text(query), searchable(text)
     free = lambda i: not (0 <= i < len(where.text) and where.text[i].isalnum())
     return [where.span(at, len(needle)) for at in where.find(needle) if free(at - 1) and free(at + len(needle))]
 
@@ -147,10 +154,10 @@ def contains_wording(text: str, phrase: str) -> bool:
     needle = Searchable(phrase).text
     if not needle:
         return False
-    if needle in Searchable(text).text:
+    if needle in searchable(text).text:
         return True
     wrapped = re.sub(r"(?<=\w)-(?=\w)", " ", Searchable(phrase, False).text)
-    return bool(wrapped) and wrapped in Searchable(text, False).text
+    return bool(wrapped) and wrapped in searchable(text, False).text
 
 
 _NUMBER = re.compile(r"[+-]?\d+(?:[.,]\d+)*%?")
@@ -161,7 +168,7 @@ def contains_number(text: str, phrase: str) -> bool:
     needle = Searchable(phrase).text.strip()
     if not any(map(str.isdigit, needle)):
         return contains_wording(text, phrase)
-    where = Searchable(text).text
+    where = searchable(text).text
     whole = {m.span() for m in _NUMBER.finditer(where)}
     inside = lambda i: any(a < i < b for a, b in whole)
     at = where.find(needle)
@@ -176,7 +183,7 @@ def contains_number(text: str, phrase: str) -> bool:
 
 def unique_match(text: str, phrase: str) -> tuple[str | None, str | None]:
     """(the text's own wording of the phrase, None), or (None, 'empty', 'absent' or 'ambiguous')."""
-    needle, where = Searchable(phrase).text, Searchable(text)
+    needle, where = Searchable(phrase).text, searchable(text)
     found = where.find(needle)
     if len(found) == 1:
         start, end = where.span(found[0], len(needle))
