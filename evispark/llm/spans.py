@@ -33,7 +33,7 @@ from evispark.llm.codepoints import chunks, decode
 from evispark.plans import staged
 
 SPAN, K = 200, 100
-#: a seed in up to so many records pairs them all; beyond it, windows do (exactly)
+#: a seed in up to so many records, at up to four times as many places, pairs them all; beyond it, windows do (exactly)
 DIRECT = 8
 #: characters of gap that cost as much as one matched character gains
 GAP_COST = 0.05
@@ -67,9 +67,10 @@ def _sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
 
     Equal smallest values all count, so that the choice depends on the window's
     content alone.  In periodic text they would be as many as the characters:
-    of equal values at one constant step only the first and the last stay.  A
-    window that holds neither lies inside the periodic stretch, and there the
-    stretch's first seed matches as far as any other.
+    of equal values at one constant step the first, the last and one in about
+    every half window stay, close enough for their surroundings to cover the
+    stretch.  A window without any lies inside the periodic stretch, where the
+    stretch's other seeds match as far as its own would.
     """
     n = len(h)
     if n <= w:
@@ -88,6 +89,9 @@ def _sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     tied = (h[places[1:]] == h[places[:-1]]) & (step < w)
     inner = np.zeros(len(places), bool)
     inner[1:-1] = tied[1:] & tied[:-1] & (step[1:] == step[:-1])
+    first = places[np.maximum.accumulate(np.where(inner, 0, np.arange(len(places))))]
+    part = (places - first) // max(1, w // 2)
+    inner[1:] &= part[1:] == part[:-1]
     return places[~inner]
 
 
@@ -181,8 +185,8 @@ def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int
     each side, at most span - k.  rec_a < rec_b.
     """
     light = seeds(records, span, k).repartition("seed")  # one exchange serves the counts and the occurrences
-    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n")).where("low < high")
-    occurrences = light.join(shared.select("seed", (F.col("n") > direct).alias("hot")), "seed")
+    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n"), F.count("*").alias("places")).where("low < high")
+    occurrences = light.join(shared.select("seed", ((F.col("n") > direct) | (F.col("places") > 4 * direct)).alias("hot")), "seed")
     met = staged(surroundings(records, occurrences, span, k))
 
     few = met.where("not hot").select("seed", "rec", "place", "left", "text")
