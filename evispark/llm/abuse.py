@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evispark.llm.codepoints import chunks, decode
 from evispark.llm.lookalikes import one_form_array
+from evispark.plans import staged
 
 #: documents whose passages train the classifier; the smallest hashes of their ids
 TRAIN_DOCS = 6_000
@@ -40,7 +42,7 @@ NOUNS = {
     "es": "cerdo cabron tarado cretino gilipollas imbecil idiota pendejo puta zorra maricon hijoputa malnacido subnormal payaso capullo bastardo perra",
 }
 CONTEMPT = "stupid pathetic worthless useless brainless spineless filthy disgusting miserable lying fucking utter dumb ugly vile rotten dummer dummes dumme nutzloser nutzlose widerlicher widerliche elender elende erbarmlicher erbarmliche kompletter verdammter sale pauvre pitoyable misérable stupide minable asqueroso asquerosa patetico patetica estupido estupida miserable inutil maldito"
-PROFANE = "fuck fucking fucked shit bullshit crap arse bloody scheisse scheiss verdammt fresse verpiss merde putain gueule joder mierda coño carajo"
+PROFANE = "fuck fucking fucked scheise shit bullshit crap arse bloody scheisse scheiss verdammt fresse verpiss merde putain gueule joder mierda coño carajo"
 EXPLICIT = "tits boobs horny nude nudes naked screw screws screwed sucked suck blowjob cock pussy cum orgasm fuck fucking stripped moaned screamed titten geil nackt nacktfotos ficken gefickt blasen schwanz muschi seins nue nichons baiser baise bite chatte tetas desnuda desnudo follar polla chupar chupame cono"
 ADDRESS = "you your yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous tú tus ti usted vos"
 GROUPS = "women men foreigners immigrants people cripples gays jews muslims blacks asians gypsies tribe race refugees disabled old they them those frauen leute auslander alte behinderte fluchtlinge femmes gens etrangers vieux handicapes mujeres gente extranjeros viejos inmigrantes discapacitados"
@@ -66,20 +68,29 @@ PATTERNS = {
 _PATTERNS = {k: re.compile(v) for k, v in PATTERNS.items()}
 
 
-def _accents() -> dict[int, str]:
-    table = {ord("ß"): "ss", ord("ø"): "o", ord("đ"): "d", ord("ł"): "l", ord("æ"): "ae", ord("œ"): "oe"}
-    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = unicodedata.normalize("NFD", chr(point))
-        if len(base) > 1:
-            table[point] = base[0]
-    return table | dict.fromkeys(range(0x300, 0x370))
-
-
-_ACCENTS = _accents()
+@functools.cache
+def _bare() -> np.ndarray:
+    """Each code point in lower case without its accent, as long as that is one character."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for point in (*range(0x41, 0x5B), *range(0xC0, 0x530), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(point).lower())
+        table[point] = ord(base[0])
+    table[[ord("ø"), ord("Ø"), ord("đ"), ord("ł")]] = [ord("o"), ord("o"), ord("d"), ord("l")]
+    return table
+
+
+def bare_texts(texts: pa.Array) -> list[str]:
+    """Texts in the one form, lower case, without accents; null gives the empty text."""
+    out: list[str] = []
+    for part in chunks(texts):
+        points, offsets = decode(one_form_array(part))
+        whole = _bare()[points].astype("<u4").tobytes().decode("utf-32-le").replace("ß", "s")
+        out += [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return out
 
 
 def _fold(text: str) -> str:
-    return text.lower().translate(_ACCENTS)
+    return bare_texts(pa.array([text]))[0]
 
 
 @functools.cache
@@ -153,8 +164,7 @@ def _marked(word: str | None, found: str) -> str:
 
 
 def plain(text: str) -> str:
-    """A text of the one form with its spellings undone; each undone word is followed by the mark 'zzdisguised'."""
-    text = _fold(text)
+    """A bare text with its spellings undone; each undone strong word is followed by the mark 'zzdisguised'."""
 
     def joined(m: re.Match) -> str:
         token = re.sub(r"[ .\-_]", "", m.group())
@@ -216,19 +226,39 @@ def votes(passage: str, tokens: list[str]) -> int:
     return fired
 
 
-def pattern_counts(documents: DataFrame) -> DataFrame:
-    """(votes, n): how often each vote pattern occurs among all passages; at most 2^16 rows."""
+def read_passages(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, lengths, votes, words): each document's passages as tokens, fired voters and hashed words.
+
+    The three lists hold, passage by passage, the number of words, the votes,
+    and the words themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
         for batch in batches:
-            for text in one_form_array(batch.column(0)).to_pylist():
-                for passage in passages(plain(text)):
-                    v = votes(passage, _TOKENS.findall(passage))
-                    counts[v] = counts.get(v, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
+            for low in range(0, len(batch), 512):
+                part = batch.slice(low, 512)
+                lengths: list[int] = []
+                fired: list[int] = []
+                words: list[int] = []
+                ends, word_ends = [0], [0]
+                for text in bare_texts(part.column(1)):
+                    for passage in passages(plain(text)) if text else ():
+                        tokens = _TOKENS.findall(passage)
+                        lengths.append(len(tokens))
+                        fired.append(votes(passage, tokens))
+                        words += word_places(tokens)
+                    ends.append(len(lengths))
+                    word_ends.append(len(words))
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int32())) for e, v in ((ends, lengths), (ends, fired), (word_ends, words))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *lists], ["doc_id", *keep, "lengths", "votes", "words"])
+
+    kept = "".join(f"{c} {documents.schema[c].dataType.simpleString()}, " for c in keep)
+    return documents.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, {kept}lengths array<int>, votes array<int>, words array<int>")
 
-    return documents.select("text").where(F.length("text") > 0).mapInArrow(run, "votes int, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+
+def pattern_counts(read: DataFrame) -> DataFrame:
+    """(votes, n): how often each vote pattern occurs among all passages; at most 2^16 rows."""
+    return read.select(F.explode("votes").alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))
 
 
 class LabelModel:
@@ -275,22 +305,31 @@ class LabelModel:
 _ids: dict[str, int] = {}
 
 
-def features(tokens: list[str], fired: int) -> np.ndarray:
-    """Hashed words, word pairs and votes of a passage."""
-    size = 1 << BITS
+def word_places(tokens: list[str]) -> list[int]:
+    """The feature of each word; all numbers share one."""
     try:
-        one = [_ids[t] for t in tokens]
+        return [_ids[t] for t in tokens]
     except KeyError:
         if len(_ids) > 300_000:
             _ids.clear()
         for t in tokens:
             if t not in _ids:
-                _ids[t] = zlib.crc32((t if t.isalpha() else "0").encode()) & (size - 1)
-        one = [_ids[t] for t in tokens]
-    words = np.array(one, np.int64)
-    pairs = (words[:-1] * 1_000_003 + words[1:] * 7 + 1) % size
-    voted = [vote_place(i) for i in range(len(VOTERS)) if fired >> i & 1]
-    return np.unique(np.concatenate([words, pairs, np.array(voted, np.int64)]))
+                _ids[t] = zlib.crc32((t if t.isalpha() else "0").encode()) & ((1 << BITS) - 1)
+        return [_ids[t] for t in tokens]
+
+
+def features(words: np.ndarray, lengths: np.ndarray, fired: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, passage) of all words, neighbouring pairs of words and votes of many passages."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    words = words.astype(np.int64)
+    inside = owner[:-1] == owner[1:]
+    pairs = ((words[:-1] * 1_000_003 + words[1:] * 7 + 1) & ((1 << BITS) - 1))[inside]
+    at, owners = [words, pairs], [owner, owner[:-1][inside]]
+    for voter in range(len(VOTERS)):
+        on = np.flatnonzero(fired >> voter & 1)
+        at.append(np.full(len(on), vote_place(voter)))
+        owners.append(on)
+    return np.concatenate(at), np.concatenate(owners)
 
 
 def vote_place(voter: int) -> int:
@@ -298,24 +337,22 @@ def vote_place(voter: int) -> int:
     return (voter * 2_654_435 + 17) % (1 << BITS)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, first: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(at: np.ndarray, owner: np.ndarray, labels: np.ndarray, first: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels (full batches, AdaGrad).
 
     ``first`` are the voters' weights to begin with; all weights are drawn back
     to where they began.
     """
     size = 1 << BITS
-    lengths = np.array([len(r) for r in rows])
-    at, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
     weights, bias = np.zeros(size), -1.5
     weights[[vote_place(i) for i in range(len(VOTERS))]] = first
     start = weights.copy()
     square, square_bias = np.full(size, 1e-3), 1e-3
     importance = np.where(labels > 0.5, np.clip(0.25 * (labels < 0.5).sum() / max(1, (labels > 0.5).sum()), 1, 20), 1.0)
     for _ in range(rounds):
-        score = bias + np.bincount(owner, weights[at], len(rows))
+        score = bias + np.bincount(owner, weights[at], len(labels))
         error = (1 / (1 + np.exp(-score)) - labels) * importance
-        gradient = np.bincount(at, error[owner], size) + decay * len(rows) * (weights - start)
+        gradient = np.bincount(at, error[owner], size) + decay * len(labels) * (weights - start)
         square += gradient**2
         weights -= rate * gradient / np.sqrt(square)
         square_bias += error.sum() ** 2
@@ -323,67 +360,49 @@ def train(rows: list[np.ndarray], labels: np.ndarray, first: np.ndarray, rounds:
     return weights, float(bias)
 
 
-def fit(documents: DataFrame, sample: int = TRAIN_DOCS) -> tuple[np.ndarray, float, LabelModel]:
+def fit(read: DataFrame, sample: int = TRAIN_DOCS) -> tuple[np.ndarray, float, LabelModel]:
     """The classifier of a corpus: label model over all passages, training on ``sample`` documents."""
-    counted = pattern_counts(documents).collect()  # at most 2^16 patterns
-    patterns, counts = np.array([r.votes for r in counted] or [0]), np.array([r.n for r in counted] or [1])
-    model = LabelModel(patterns, counts)
+    counted = pattern_counts(read).collect()  # at most 2^16 patterns
+    model = LabelModel(np.array([r.votes for r in counted] or [0]), np.array([r.n for r in counted] or [1]))
+    chosen = read.select("doc_id", "lengths", "votes", "words").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
+    lengths, fired, words = (chosen.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("lengths", "votes", "words"))
+    if not len(lengths):
+        return np.zeros(1 << BITS), -1.5, model
     posterior = model.table()
-    chosen = documents.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(sample)
-    rows, labels = [], []
-    for batch in _features_of(chosen).toArrow().to_batches(max_chunksize=4096):
-        for v, at in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows.append(at.values.to_numpy())
-            labels.append(posterior.get(v, 0.0))
-    if not rows:
-        return np.zeros(1 << BITS), -3.0, model
-    weights, bias = train(rows, np.array(labels), model.weights())
+    weights, bias = train(*features(words, lengths, fired), np.array([posterior.get(v, 0.0) for v in fired.tolist()]), model.weights())
     return weights, bias, model
 
 
-def _features_of(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fired, rows = [], []
-            for text in one_form_array(batch.column(0)).to_pylist():
-                for passage in passages(plain(text)):
-                    tokens = _TOKENS.findall(passage)
-                    v = votes(passage, tokens)
-                    fired.append(v)
-                    rows.append(features(tokens, v).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(fired, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["votes", "at"])
-
-    return texts.mapInArrow(run, "votes int, at array<int>")
-
-
 def score_documents(documents: DataFrame, sample: int = TRAIN_DOCS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep, score, review): a score from 0 to 1 for every document; review from ``threshold`` on.
 
     ``documents`` has (doc_id, text); the columns named in ``keep`` go along,
-    others are ignored.  Null, empty and blank texts score 0.  Whole texts are read, of any length; repeated rows
-    give a row each; an empty table gives none.  The two passes over the corpus
-    run without a shuffle but that of the vote patterns.
+    others are ignored.  Null, empty and blank texts score 0.  Whole texts are
+    read, of any length; repeated rows give a row each; an empty table gives
+    none.  Texts are read once: their passages are staged as numbers, from
+    which the label model, the classifier and the scores come.  Only the counts
+    of vote patterns are shuffled.
     """
-    weights, bias, _ = fit(documents, sample)
+    read = staged(read_passages(documents, keep))
+    weights, bias, _ = fit(read, sample)
     used = np.flatnonzero(np.abs(weights) > 1e-6)
-    sent = documents.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float32), bias))
+    sent = documents.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float32), bias))  # at most 2^18 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, start = sent.value
+        place, values, start = sent.value
         dense = np.zeros(1 << BITS, np.float32)
-        dense[at] = values
+        dense[place] = values
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
-                scores = []
-                for text in one_form_array(part.column(1)).to_pylist():
-                    best = -np.inf
-                    for passage in passages(plain(text)) if text else ():
-                        tokens = _TOKENS.findall(passage)
-                        if tokens:
-                            best = max(best, start + float(dense[features(tokens, votes(passage, tokens))].sum()))
-                    scores.append(0.0 if best == -np.inf else 1 / (1 + float(np.exp(-max(-30.0, min(30.0, best))))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())], ["doc_id", *keep, "score", "review"])
+            for low in range(0, len(batch), 2_000):
+                part = batch.slice(low, 2_000)
+                counts = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                lengths, fired, words = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                at, owner = features(words, lengths, fired)
+                sums = start + np.bincount(owner, dense[at], len(lengths))
+                worst = np.full(len(part), -np.inf)
+                np.maximum.at(worst, np.repeat(np.arange(len(part)), counts), np.where(lengths > 0, sums, -np.inf))
+                scores = np.where(np.isneginf(worst), 0.0, 1 / (1 + np.exp(-np.clip(worst, -30, 30))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[4:], pa.array(scores), pa.array(scores >= threshold)], ["doc_id", *keep, "score", "review"])
 
     kept = "".join(f"{c} {documents.schema[c].dataType.simpleString()}, " for c in keep)
-    return documents.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, {kept}score double, review boolean")
+    return read.select("doc_id", "lengths", "votes", "words", *keep).mapInArrow(run, f"doc_id long, {kept}score double, review boolean")

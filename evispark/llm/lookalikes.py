@@ -94,6 +94,7 @@ class _Tables:
                     second.append(int(b, 16))
                     made.append(point)
         self.pool = np.array(pool, np.uint32)
+        self.changed = self.place >= _LIMIT
         keys = np.array(first, np.int64) << 21 | np.array(second, np.int64)
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.array(made, np.uint32)[order]
@@ -121,19 +122,21 @@ def tables() -> _Tables:
 
 
 def _fold(points: np.ndarray, offsets: np.ndarray, t: _Tables) -> tuple[np.ndarray, np.ndarray]:
-    """Gather every code point's folded form, with offsets moved by the lengths."""
-    length, place = t.length[points], t.place[points]
-    changed = place >= _LIMIT
-    if not changed.any():
+    """Every code point's folded form, with offsets moved by the lengths; only folded places are touched."""
+    at = np.flatnonzero(t.changed[points])
+    if not len(at):
         return points, offsets
-    ends = np.cumsum(length, dtype=np.int64)
-    source = np.repeat(np.arange(len(points)), length)
-    step = np.arange(len(source)) - np.repeat(ends - length, length)
-    place = place[source]
-    out = points[source]
-    moved = place >= _LIMIT
-    out[moved] = t.pool[place[moved] - _LIMIT + step[moved]]
-    return out, np.concatenate([[0], ends])[offsets]
+    length = t.length[points[at]].astype(np.int64)
+    place = t.place[points[at]] - _LIMIT
+    moved = np.cumsum(length - 1)
+    times = np.ones(len(points), np.int64)
+    times[at] = length
+    out = np.repeat(points, times)
+    start = at + moved - (length - 1)
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(start, length) + step] = t.pool[np.repeat(place, length) + step]
+    before = np.searchsorted(at, offsets)
+    return out, offsets + np.concatenate([[0], moved])[before]
 
 
 def _compose(points: np.ndarray, t: _Tables) -> tuple[np.ndarray, np.ndarray]:

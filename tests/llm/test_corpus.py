@@ -65,13 +65,12 @@ def test_item_blocks_change_nothing(spark, monkeypatch):
 
 @pytest.mark.parametrize("shown, meant", [("b.a.s.t.a.r.d", "bastard"), ("h a l f w i t", "halfwit"), ("1mb3c1le", "imbecile"), ("stupiiiid", "stupid"), ("wo#thless", "worthless"), ("u5el355", "useless"), ("ｉ​diоt", "idiot"), ("WH0R3", "whore"), ("s t u p i d c l o w n", "stupid clown")])
 def test_spellings_are_undone(shown, meant):
-    form = one_form_array(pa.array([f"You are a {shown} here."])).to_pylist()[0]
-    assert meant in abuse.plain(form)
+    assert meant in abuse.plain(abuse.bare_texts(pa.array([f"You are a {shown} here."]))[0])
 
 
 @pytest.mark.parametrize("clean", ["Allocation F84206/35 used **sealed** envelopes; n=12.", "idiopathic anal fissures in 13 cocktail parties", "p = 0.05 on the RIS36 scale"])
 def test_ordinary_text_stays(clean):
-    assert "zzdisguised" not in abuse.plain(clean)
+    assert "zzdisguised" not in abuse.plain(abuse.bare_texts(pa.array([clean]))[0])
 
 
 def test_scores_on_held_out_labels(spark):
