@@ -150,10 +150,62 @@ def p4_records(spark: SparkSession, sf: str) -> DataFrame:
     return drift.consistent_table(records, ["identity"], drift.alias_table(drift.changes(records)))
 
 
+def _leaves_sql(table: str, premises: bool) -> str:
+    """SQL of the leaves of one submission table."""
+    item = lambda of, name, i: f"case json_type({of}, '$.{name}') when 'ARRAY' then json_extract({of}, '$.{name}[' || {i} || ']') else json_extract({of}, '$.{name}') end"
+    size = lambda of, name: f"cast(case json_type({of}, '$.{name}') when 'ARRAY' then json_array_length({of}, '$.{name}') when 'OBJECT' then 1 when 'UBIGINT' then 1 else 0 end as bigint)"
+    each = lambda of, name: f"unnest(range({size(of, name)}))"
+    head = f"""
+select * from (with raw as (select submission_id, any_value(body) as body from {table} group by 1), v0 as (select submission_id, cast(body as json) as j from raw where json_valid(body)),
+v1 as (select submission_id, case when json_type(j) = 'VARCHAR' then cast(json_extract_string(j, '$') as json) else j end as j from v0),
+v2 as (select submission_id, coalesce(json_extract(j, '$.submission'), j) as j from v1),
+a as (select submission_id, i as answer_no, json_extract(j, '$.answers[' || i || ']') as a from (select submission_id, j, {each("j", "answers")} as i from v2)),
+b as (select submission_id, answer_no, i as n, {item("a", "bases", "i")} as b from (select *, {each("a", "bases")} as i from a)),
+"""
+    basis = f"select distinct '{table}' as record_table, submission_id, answer_no, 'basis' as child, n as child_no, json_extract_string(b, '$.evidence') as target from b where json_extract_string(b, '$.evidence') is not null"
+    if premises:
+        any_of = " or ".join(f"json_extract_string(b, '$.{p}unresolved_premise') is not null" for p in ("", "limitation.", "context."))
+        return head + f"""
+l as (select submission_id, answer_no, i as n, {item("a", "limitation", "i")} as l from (select *, {each("a", "limitation")} as i from a))
+{basis}
+union all select '{table}', submission_id, answer_no, 'premise', n, '0' from b where {any_of}
+union all select distinct '{table}', submission_id, answer_no, 'premise', -1, target from (
+  select submission_id, answer_no, '0' as target from a where json_extract_string(a, '$.unresolved_premise') is not null
+  union all select submission_id, answer_no, cast(n as varchar) from l where json_extract_string(l, '$.unresolved_premise') is not null))"""
+    return head + f"""
+c as (select submission_id, answer_no, i as n, {item("a", "counterevidence", "i")} as c from (select *, {each("a", "counterevidence")} as i from a)),
+x as (select submission_id, answer_no, n, case json_type(c) when 'OBJECT' then {item("c", "basis_indexes", "i")} else c end as x from (select *, unnest(range(case json_type(c) when 'OBJECT' then {size("c", "basis_indexes")} else 1 end)) as i from c))
+{basis}
+union all select distinct '{table}', submission_id, answer_no, 'counterpoint', n, cast(x as varchar) from x where json_type(x) <> 'NULL')"""
+
+
+_P3 = _leaves_sql(SUBMISSIONS["monarch_plus"], True) + " union all " + _leaves_sql(SUBMISSIONS["an_d2"], False)
+_P4 = """
+with r as (select replace(lower(trim(kind)), '-', '_') as kind, export_file as file, payload from canonical_records),
+fs as (select kind, file, row_number() over (partition by kind order by file) as seq from (select distinct kind, file from r)),
+ok as (select kind, file, payload from r where json_valid(payload) and json_type(case when json_valid(payload) then payload end) = 'OBJECT'),
+kv as (select kind, file, field, json_extract(payload, '$."' || field || '"') as v from (select kind, file, payload, unnest(json_keys(payload)) as field from ok)),
+ty as (select kind, seq, field, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end as type, cast(v as varchar) as v from kv join fs using (kind, file) where json_type(v) <> 'NULL'),
+pr as (select kind, seq, field, type from (select kind, seq, field, type, row_number() over (partition by kind, seq, field order by count(*) desc, type) as p from ty group by 1, 2, 3, 4) where p = 1),
+new as (select a.* from pr a left join pr b on a.kind = b.kind and a.field = b.field and b.seq = a.seq - 1 where b.kind is null and a.seq > 1),
+gone as (select a.kind, a.seq + 1 as seq, a.field, a.type from pr a left join pr b on a.kind = b.kind and a.field = b.field and b.seq = a.seq + 1 join fs on fs.kind = a.kind and fs.seq = a.seq + 1 where b.kind is null),
+ret as (select b.kind, b.seq, b.field from pr a join pr b on a.kind = b.kind and a.field = b.field and b.seq = a.seq + 1 and a.type <> b.type),
+pairs as (select g.kind, g.seq, g.field as old, n.field as fresh from gone g join new n on g.kind = n.kind and g.seq = n.seq and g.type = n.type),
+hits as (select p.kind, p.seq, old, fresh, count(*) as n, count(*) filter (where exists (select 1 from ty o where o.kind = p.kind and o.field = p.old and o.seq < p.seq and o.v = d.v)) as h
+         from pairs p join (select distinct kind, seq, field, v from ty) d on d.kind = p.kind and d.seq = p.seq and d.field = p.fresh group by 1, 2, 3, 4),
+ren as (select * from (select *, row_number() over (partition by kind, seq, old order by h / n desc, fresh) as a, row_number() over (partition by kind, seq, fresh order by h / n desc, old) as b from hits where h >= 0.5 * n) where a = 1 and b = 1),
+ch as (select kind, seq, field, 'added' as change, '' as new_field from new where (kind, seq, field) not in (select kind, seq, fresh from ren)
+       union all select kind, seq, field, 'removed', '' from gone where (kind, seq, field) not in (select kind, seq, old from ren)
+       union all select kind, seq, field, 'retyped', '' from ret
+       union all select kind, seq, old, 'renamed', fresh from ren)
+select kind, file as export_file, field, change, new_field from ch join fs using (kind, seq)
+"""
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_answers, p3_bases, p3_limitations, p3_counterpoints, p4_found, p4_records)
 }
 ORACLE: dict[str, str] = {
     "p2_found": _P2 + "select ref_table, ref_key, ref_no, status, period from orphans",
+    "p3_found": _P3,
+    "p4_found": _P4,
     "p2_counts": _P2 + "select ref_table, period, status, count(*) as n from orphans group by 1, 2, 3",
 }
