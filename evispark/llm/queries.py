@@ -102,7 +102,20 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shared, p5_found, p5_pieces, p6_found, p6_texts, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
+_SPANS = """
+with r as (select 'pages' as record_table, source_id, cast(page as bigint) as record_no, any_value(text) as x from pages where length(text) >= 200 group by source_id, page
+           union all select 'companion_reference', '', reference_id, any_value(citation) from companion_reference where length(citation) >= 200 group by reference_id),
+w as (select record_table, source_id, record_no, i, md5(substring(x, i, 200)) as h from (select *, unnest(range(1, length(x) - 198)) as i from r)),
+s as (select h from w group by h having count(distinct (record_table, source_id, record_no)) > 1),
+m as (select record_table, source_id, record_no, i from w where h in (select h from s))
+"""
 ORACLE: dict[str, str] = {
+    "p1_found": _SPANS + "select distinct record_table, source_id, record_no from m",
+    "p1_shared": _SPANS
+    + """, g as (select *, i - lag(i + 200) over (partition by record_table, source_id, record_no order by i) as gap from m)
+select record_table, source_id, record_no, length(x) as n_chars, count(*) filter (where gap is null or gap > 0) as n_spans,
+       cast(sum(case when gap is null or gap > 0 then 200 else 200 + gap end) as bigint) as n_shared
+from g join r using (record_table, source_id, record_no) group by record_table, source_id, record_no, length(x)""",
     "p5_found": """
 with p as (select source_id, page, any_value(text) as text from pages group by source_id, page),
 w as (select window_id, any_value(source_identity) as source_id, any_value(page) as page, any_value(start_line) as a, any_value(end_line) as b from source_window group by window_id),

@@ -185,7 +185,7 @@ def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int
     each side, at most span - k.  rec_a < rec_b.
     """
     light = seeds(records, span, k).repartition("seed")  # one exchange serves the counts and the occurrences
-    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n"), F.count("*").alias("places")).where("low < high")
+    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n"), F.count("*").alias("places"), F.max("place").alias("last")).where("low < high and last >= 0")  # as wide as the other branch, so that one exchange serves both
     occurrences = light.join(shared.select("seed", ((F.col("n") > direct) | (F.col("places") > 4 * direct)).alias("hot")), "seed")
     met = staged(surroundings(records, occurrences, span, k))
 
