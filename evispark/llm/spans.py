@@ -184,7 +184,8 @@ def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int
     ``before`` and ``after`` are the characters by which the match extends on
     each side, at most span - k.  rec_a < rec_b.
     """
-    light = seeds(records, span, k).repartition("seed")  # one exchange serves the counts and the occurrences
+    # one exchange serves the counts and the occurrences; nulls leave first, so that both branches push down the same filter
+    light = seeds(records, span, k).where("rec is not null and seed is not null").repartition("seed")
     # the key's other name keeps the join from copying the plan of the seeds, so that the exchange is reused
     shared = light.groupBy(F.col("seed").alias("shared_seed")).agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n"), F.count("*").alias("places"), F.max("place").alias("last")).where("low < high and last >= 0")  # as wide as the other branch, so that one exchange serves both
     occurrences = light.join(shared.select("shared_seed", ((F.col("n") > direct) | (F.col("places") > 4 * direct)).alias("hot")), F.col("seed") == F.col("shared_seed")).drop("shared_seed")
