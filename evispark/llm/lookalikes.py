@@ -228,7 +228,8 @@ def look_alike_pairs(records: DataFrame) -> DataFrame:
     """(field, key_a, key_b): records of a field whose texts differ but look the same.
 
     ``records`` has (field, key, text); other columns are ignored.  Repeated
-    rows of a key count once, null texts are no case, an empty table gives none.
+    rows of a key count once, null texts and null keys are no case, an empty table
+    gives none.
     Texts travel as 128-bit digests only, which are staged, so that each text
     is brought to its form once.  Classes in which all texts are
     stored alike leave before any pair is made, and pairs are made between
@@ -236,7 +237,7 @@ def look_alike_pairs(records: DataFrame) -> DataFrame:
     """
     digest = lambda c: F.unhex(F.md5(c))
     rows = staged(
-        records.where(F.col("text").isNotNull())
+        records.where(F.col("text").isNotNull() & F.col("key").isNotNull())
         .select("field", "key", digest(F.col("text")).alias("stored"), digest(one_form(F.col("text"))).alias("form"))
         .groupBy("field", "key")
         .agg(F.min("stored").alias("stored"), F.min("form").alias("form"))

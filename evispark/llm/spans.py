@@ -182,7 +182,7 @@ def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int
     """(rec_a, rec_b, place_a, place_b, before, after): matches of seeds of two records.
 
     ``before`` and ``after`` are the characters by which the match extends on
-    each side, at most span - k.  rec_a < rec_b.
+    each side, at most span - k.  rec_a < rec_b.  Records without a key are none.
     """
     # one exchange serves the counts and the occurrences; nulls leave first, so that both branches push down the same filter
     light = seeds(records, span, k).where("rec is not null and seed is not null").repartition("seed")

@@ -33,7 +33,7 @@ def test_what_is_folded_and_what_is_not():
 
 
 def test_look_alike_pairs(spark):
-    rows = [("f", "1", "abc"), ("f", "2", "аbc"), ("f", "2", "аbc"), ("f", "10", "abc"), ("g", "1", "аbc"), ("f", "3", None), ("f", "4", ""), ("f", "5", "​"), ("f", "6", "ABC")]
+    rows = [("f", "1", "abc"), ("f", "2", "аbc"), ("f", "2", "аbc"), ("f", "10", "abc"), ("g", "1", "аbc"), ("f", "3", None), ("f", "4", ""), ("f", "5", "​"), ("f", "6", "ABC"), ("f", None, "аbc")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "field string, key string, text string, form string")
     found = {tuple(r) for r in lookalikes.look_alike_pairs(df).collect()}
     assert found == {("f", "1", "2"), ("f", "10", "2"), ("f", "4", "5")}
