@@ -150,13 +150,13 @@ def flat_table(tree: DataFrame, path: str, members: dict[str, str], steps: int =
 
     Returns (key, dewey, parent, positions, one column per member).  ``parent``
     is the label ``steps`` levels up; ``positions`` are the list positions on
-    the way.  ``members`` maps a column to a member path below the node.  Member
+    the way; the path of the root is empty.  ``members`` maps a column to a member path below the node.  Member
     nodes find their row by their label cut to the row's length, so one
     aggregation groups them and no join is needed.
     """
-    wanted = {f"{path}.{m}": c for c, m in members.items()}
+    wanted = {f"{path}.{m}" if path else m: c for c, m in members.items()}
     at = tree.where(F.col("schema_path").isin(path, *wanted))
-    depth = {p: p[len(path):].count(".") + p[len(path):].count("[]") for p in wanted}
+    depth = {p: 1 + members[c].count(".") + members[c].count("[]") for p, c in wanted.items()}
     label = F.col("dewey")
     for levels in sorted(set(depth.values())):
         cut = F.col("dewey")

@@ -103,10 +103,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_answers(spark: SparkSession, sf: str) -> DataFrame:
+    members = ("question_id", "answer", "justification", "unresolved_premise", "stopping_rationale")
     out = []
     for table, _, tree in _tables(spark, sf):
-        rows = nested.flat_table(tree, "answers[]", {"question_id": "question_id", "answer": "answer", "justification": "justification"}, steps=2)
-        out.append(rows.select(F.lit(table).alias("record_table"), F.col("key").alias("submission_id"), "dewey", "parent", F.col("positions")[0].alias("answer_no"), "question_id", "answer", "justification"))
+        rows = nested.flat_table(tree, "answers[]", {m: m for m in members}, steps=2)
+        out.append(rows.select(F.lit(table).alias("record_table"), F.col("key").alias("submission_id"), "dewey", "parent", F.col("positions")[0].alias("answer_no"), *members))
     return out[0].unionByName(out[1])
 
 
@@ -119,22 +120,82 @@ def p3_bases(spark: SparkSession, sf: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _both(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of both forms, with their record table."""
+    trees = [tree.withColumn("record_table", F.lit(table)) for table, _, tree in _tables(spark, sf)]
+    return trees[0].unionByName(trees[1])
+
+
+def p3_submissions(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per readable submission; its label is that of the root."""
+    members = {m: m for m in ("trial_id", "domain_id", "expected_revision")}
+    out = []
+    for table, _, tree in _tables(spark, sf):
+        rows = nested.flat_table(tree, "", members, steps=0)
+        out.append(rows.select(F.lit(table).alias("record_table"), F.col("key").alias("submission_id"), "dewey", "trial_id", "domain_id", F.col("expected_revision").cast("long").alias("expected_revision")))
+    return out[0].unionByName(out[1])
+
+
 def p3_limitations(spark: SparkSession, sf: str) -> DataFrame:
-    tree = nodes_of(spark, sf, "monarch_plus")
-    rows = nested.flat_table(tree, "answers[].limitation[]", {"unresolved_premise": "unresolved_premise", "stopping_rationale": "stopping_rationale"}, steps=2)
-    return rows.select(F.col("key").alias("submission_id"), "dewey", "parent", F.col("positions")[0].alias("answer_no"), F.col("positions")[1].alias("limitation_no"), "unresolved_premise", "stopping_rationale")
+    """Every limitation of both forms: elements of a list, objects of a basis, and premises or rationales that stand on an answer or basis itself.
+
+    ``holder`` is the schema path at which it stands.  ``parent`` is the label
+    of its answer or basis; what stands on that itself has its label and no
+    limitation_no.  An answer or basis without a premise and rationale of its
+    own gives no row.
+    """
+    members = ("unresolved_premise", "premise", "stopping_rationale")
+    basis = "answers[].bases[]"
+    own = ["answers[]", basis]
+    lists = [f"{of}.{name}[]" for of in own for name in ("limitation", "limitations", "context")]
+    objects = [f"{of}.{name}" for of in own for name in ("limitation", "limitations", "context")]
+    holders = [*own, *lists, *objects]
+    path, at = F.col("schema_path"), F.col("ordinals")
+    is_member = path.isin(*[f"{h}.{m}" for h in holders for m in members])
+    # an object's row needs its node, an answer's or basis's own row only its members
+    is_node = path.isin(*lists) | (path.isin(*objects) & ~F.col("kind").isin("array", "null"))
+    found = _both(spark, sf).where(is_member | is_node).withColumns({
+        "holder": F.when(is_member, F.regexp_replace(path, r"\.[^.]+$", "")).otherwise(path),
+        "label": F.when(is_member, nested.parent_label(F.col("dewey"))).otherwise(F.col("dewey")),
+        "member": F.when(is_member, F.regexp_extract(path, r"([^.]+)$", 1)),
+    })
+    rows = found.groupBy("record_table", "key", "label", "holder").agg(
+        F.max(at).alias("at"), *[F.max(F.when(F.col("member") == m, F.col("value"))).alias(m) for m in members],
+        F.max(F.when(~is_member & ~F.col("kind").isin("object", "null"), F.col("value"))).alias("bare"),
+    )
+    holder, label = F.col("holder"), F.col("label")
+    on_basis, in_list = holder.startswith(basis), holder.isin(*lists)
+    parent = F.when(in_list, nested.parent_label(nested.parent_label(label))).when(holder.isin(*objects), nested.parent_label(label)).otherwise(label)
+    kept = rows.where(~holder.isin(*own) | F.coalesce(*members).isNotNull())
+    return kept.select(
+        "record_table", F.col("key").alias("submission_id"), label.alias("dewey"), parent.alias("parent"), "holder",
+        F.get("at", F.lit(0)).alias("answer_no"), F.when(on_basis, F.get("at", F.lit(1))).alias("basis_no"),
+        F.when(in_list, F.element_at("at", -1)).when(holder.isin(*objects), F.lit(0)).alias("limitation_no"),
+        "unresolved_premise", F.coalesce("premise", "bare").alias("premise"), "stopping_rationale",
+    )
 
 
 def p3_counterpoints(spark: SparkSession, sf: str) -> DataFrame:
-    tree = nodes_of(spark, sf, "an_d2")
-    path = F.col("schema_path")
+    """Every counterpoint of both forms; a bare number is itself one index."""
+    path, label = F.col("schema_path"), F.col("dewey")
     element = "answers[].counterevidence[]"
     index = (path == f"{element}.basis_indexes[]") | ((path == element) & (F.col("kind") == "number"))
-    rows = tree.where(path.isin(element, f"{element}.implication", f"{element}.basis_indexes[]"))
-    return rows.groupBy(F.col("key").alias("submission_id"), F.col("ordinals")[0].alias("answer_no"), F.col("ordinals")[1].alias("counterpoint_no")).agg(
+    own = F.when(path == element, label).when(path == f"{element}.implication", nested.parent_label(label)).otherwise(nested.parent_label(nested.parent_label(label)))
+    rows = _both(spark, sf).where(path.isin(element, f"{element}.implication", f"{element}.basis_indexes[]")).withColumn("own", own)
+    return rows.groupBy(
+        "record_table", F.col("key").alias("submission_id"), F.col("own").alias("dewey"), nested.parent_label(nested.parent_label(F.col("own"))).alias("parent"),
+        F.col("ordinals")[0].alias("answer_no"), F.col("ordinals")[1].alias("counterpoint_no"),
+    ).agg(
         F.max(F.when(path == f"{element}.implication", F.col("value"))).alias("implication"),
         F.transform(F.array_sort(F.collect_list(F.when(index & (F.col("kind") == "number"), F.struct(F.coalesce(F.get("ordinals", F.lit(2)), F.lit(0)).alias("i"), F.col("value").alias("x"))))), lambda s: s["x"]).alias("basis_indexes"),
-    )
+    )
+
+
+def p3_unknowns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every element of an answer's unknowns."""
+    rows = _both(spark, sf).where("schema_path = 'answers[].unknowns[]'")
+    parent = nested.parent_label(nested.parent_label(F.col("dewey")))
+    return rows.select("record_table", F.col("key").alias("submission_id"), "dewey", parent.alias("parent"), F.col("ordinals")[0].alias("answer_no"), F.col("ordinals")[1].alias("unknown_no"), F.col("value").alias("unknown"))
 
 
 def _payloads(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +262,7 @@ ch as (select kind, seq, field, 'added' as change, '' as new_field from new wher
 select kind, file as export_file, field, change, new_field from ch join fs using (kind, seq)
 """
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_answers, p3_bases, p3_limitations, p3_counterpoints, p4_found, p4_records)
+    f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_submissions, p3_answers, p3_bases, p3_limitations, p3_counterpoints, p3_unknowns, p4_found, p4_records)
 }
 ORACLE: dict[str, str] = {
     "p2_found": _P2 + "select ref_table, ref_key, ref_no, status, period from orphans",
