@@ -132,10 +132,10 @@ def search_continuation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether each reference's citation has one exact place on its page."""
+    """Whether each reference's whole citation has one exact place on its page: unique, ambiguous, absent or empty; a null citation is empty, a null page holds nothing."""
     cited = load(spark, sf, "companion_reference").select("reference_id", "source_id", "page", "citation").dropDuplicates(["reference_id"])
     met = cited.join(_pages(spark, sf), ["source_id", "page"])
-    found = T.column("unique_match")(F.col("text"), F.substring("citation", 1, 60))
+    found = T.column("unique_match")(F.coalesce("text", F.lit("")), F.coalesce("citation", F.lit("")))
     return met.select("reference_id", found.alias("m")).select("reference_id", F.coalesce("m.reason", F.lit("unique")).alias("state"))
 
 
