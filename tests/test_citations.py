@@ -1,6 +1,6 @@
 """Citations are looked up whole."""
 
-from evispark.queries import retrieval
+from evispark.queries import evidence, retrieval
 
 HEAD = "The allocation list was kept by the pharmacy until the last visit of a participant, "
 TEXT = f"Intro. {HEAD}and nobody else saw it. Twice said. Twice said."
@@ -17,3 +17,11 @@ def stored(spark, folder):
 def test_evidence_selection_reads_the_whole_citation(spark, tmp_path):
     states = dict(map(tuple, retrieval.evidence_selection(spark, stored(spark, tmp_path)).collect()))
     assert states == {1: "unique", 2: "absent", 3: "ambiguous", 4: "empty", 5: "absent", 6: "unique"}
+
+
+def test_bindings_compare_whole_citations(spark, tmp_path):
+    sf = stored(spark, tmp_path)
+    bound = {r.reference_id: r.page for r in evidence.citation_bindings(spark, sf).collect()}
+    assert bound == {1: 1, 2: None, 3: 1, 5: 1, 6: 1}
+    assert {r.reference_id for r in evidence.citation_defects(spark, sf).collect()} == {2}
+    assert {(r.tuple, r.page) for r in evidence.citation_anchors(spark, sf).collect()} == {(1, 1), (3, 1), (5, 1), (6, 1)}
