@@ -9,6 +9,11 @@ all blocks together find every item window within the radius of a document
 window.  Candidates are then verified by the exact weighted similarity of
 their shingles.
 
+Altered passages hold no such window.  They are found by windows of the item's
+own length: every short shingle of a document is looked up in the list of all
+items' shingles, and the largest share of an item's shingles that stands in one
+window is exact.  No fingerprint stands between, so no pair is lost.
+
 The items are the stated query set, held against all documents in blocks of
 bounded size; a block's tables are broadcast, documents are never shuffled.
 """
@@ -27,6 +32,8 @@ from evispark.llm.lookalikes import one_form_array
 from evispark.llm.words import mix, shingle_hashes, word_hashes
 
 WINDOW, SHINGLE, RADIUS = 13, 5, 3
+#: words of a shingle of item-sized windows; share of an item's shingles that makes an altered passage
+ALTERED_SHINGLE, ALTERED_SHARE = 4, 0.4
 #: items per broadcast block; at 200 words an item its tables stay below 50 MB
 ITEMS_AT_ONCE = 2_000
 _WORDS_AT_ONCE = 40_000
@@ -50,6 +57,7 @@ class ItemTables:
         self.place = starts - np.searchsorted(rows, rows[starts]) if len(starts) else starts
         self.words = words[starts[:, None] + np.arange(window)] if len(starts) else np.empty((0, window), np.uint64)
         self.prints = self.fingerprints(words)[starts] if len(starts) else np.empty(0, np.uint64)
+        self._list_shingles(words, rows, np.array([i for i, _ in known], np.int64))
         edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = []
         for low, high in zip(edges[:-1], edges[1:]):
@@ -57,6 +65,19 @@ class ItemTables:
             order = np.argsort(value, kind="stable")
             self.blocks.append((int(low), int(high), order, np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << int(high - low)))])))
 
+    def _list_shingles(self, words: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+        """Each distinct short shingle of each item of at least ``window`` words, sorted by hash."""
+        short = shingle_hashes(words, ALTERED_SHINGLE)
+        owner = rows[: len(short)]
+        self.lengths = np.bincount(rows, minlength=len(ids))
+        own = (owner == rows[ALTERED_SHINGLE - 1 :][: len(owner)]) & (self.lengths[owner] >= self.window) if len(owner) else np.empty(0, bool)
+        order = np.lexsort((owner[own], short[own]))
+        short, owner = short[own][order], owner[own][order]
+        first = np.ones(len(short), bool)
+        first[1:] = (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])
+        self.short, self.short_owner, self.ids = short[first], owner[first], ids
+        self.held = np.bincount(self.short_owner, minlength=len(ids))
+
     @staticmethod
     def block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
         return (prints >> np.uint64(low) & np.uint64((1 << int(high - low)) - 1)).astype(np.int64)
@@ -143,15 +164,56 @@ def _matches(t: ItemTables, words: np.ndarray, rows: np.ndarray, least: float) -
     return [(r, o, int(n), s) for (r, o), (n, s) in out.items()]
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, n_words, similarity): documents with passages of items.
+def _altered(t: ItemTables, words: np.ndarray, rows: np.ndarray, share: float) -> dict[tuple[int, int], float]:
+    """The largest share of an item's short shingles in one window of its length, by (row, item), where it is at least ``share``."""
+    shingles = shingle_hashes(words, ALTERED_SHINGLE)
+    if not len(shingles) or not len(t.short):
+        return {}
+    inside = rows[: len(shingles)] == rows[ALTERED_SHINGLE - 1 :]
+    first = np.searchsorted(t.short, shingles, "left")
+    count = np.where(inside, np.searchsorted(t.short, shingles, "right") - first, 0)
+    at = np.flatnonzero(count)
+    doc = np.repeat(at, count[at])
+    entry = np.repeat(first[at], count[at]) + np.arange(len(doc)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+    owner = t.short_owner[entry]
+    _, pair, total = np.unique(rows[doc] * len(t.ids) + owner, return_inverse=True, return_counts=True)
+    enough = total[pair] >= share * t.held[owner]  # a window holds no more than the whole text
+    doc, entry, owner, pair = (x[enough] for x in (doc, entry, owner, pair))
+    order = np.lexsort((doc, pair))
+    doc, entry, owner, pair = (x[order] for x in (doc, entry, owner, pair))
+    out: dict[tuple[int, int], float] = {}
+    starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else []
+    for a, b in zip(starts, [*starts[1:], len(pair)]):
+        width, held = int(t.lengths[owner[a]]) - ALTERED_SHINGLE, int(t.held[owner[a]])
+        places, names = doc[a:b].tolist(), entry[a:b].tolist()
+        seen: dict[int, int] = {}
+        low = best = 0
+        for place, name in zip(places, names):
+            seen[name] = seen.get(name, 0) + 1
+            while places[low] < place - width:
+                seen[names[low]] -= 1
+                if not seen[names[low]]:
+                    del seen[names[low]]
+                low += 1
+            best = max(best, len(seen))
+        if best >= share * held:
+            out[int(rows[places[0]]), int(t.ids[owner[a]])] = best / held
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = 0.8, share: float | None = ALTERED_SHARE) -> DataFrame:
+    """(doc_id, item_id, n_words, similarity, share): documents with passages of items.
 
     ``documents`` has (doc_id, text), ``items`` (item_id, text).  Words are runs
     of letters and digits of the one form, in lower case.  A row says that some
     window of the document is within the radius and at least ``similarity``
-    alike; ``n_words`` is the longest run of the item's words that stands in the
-    document unbroken, 0 if every window is altered.  Null and empty texts, and
-    texts below ``window`` words, match nothing; items without any give no rows.
+    alike, or that a window of the item's length holds at least ``share`` of the
+    item's distinct shingles of four words; the column of a test that fails is
+    null, and without ``share`` only the first is made.  ``n_words`` is the
+    longest run of the item's words that stands in the document unbroken, 0 if
+    it is below ``window``.  Null and empty texts and items below ``window``
+    words match nothing, nor do texts below it by ``similarity``; items without
+    any give no rows.
     """
     spark = documents.sparkSession
     blocks, held = [], []
@@ -164,12 +226,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, s
     found = None
     for block in blocks:
         sent = spark.sparkContext.broadcast(ItemTables([r.item_id for r in block], [r.text for r in block], window, shingle, radius))
-        part = _against(documents, sent, similarity)
+        part = _against(documents, sent, similarity, share)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _against(documents: DataFrame, sent, similarity: float) -> DataFrame:
+def _against(documents: DataFrame, sent, similarity: float, share: float | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
         for batch in batches:
@@ -178,10 +240,13 @@ def _against(documents: DataFrame, sent, similarity: float) -> DataFrame:
                 ids = batch.column(0).slice(at, len(part))
                 at += len(part)
                 words, rows = word_hashes(one_form_array(part))
-                found = _matches(t, words, rows, similarity)
-                if found:
-                    r, o, n, s = zip(*found)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r, pa.int64())), pa.array(o, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.float64())], ["doc_id", "item_id", "n_words", "similarity"])
+                found = {(r, o): (n, s) for r, o, n, s in _matches(t, words, rows, similarity)}
+                altered = _altered(t, words, rows, share) if share is not None else {}
+                pairs = sorted(found.keys() | altered.keys())
+                if pairs:
+                    r, o = zip(*pairs)
+                    n, s = zip(*(found.get(p, (0, None)) for p in pairs))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r, pa.int64())), pa.array(o, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.float64()), pa.array([altered.get(p) for p in pairs], pa.float64())], ["doc_id", "item_id", "n_words", "similarity", "share"])
 
     once = documents.select("doc_id", "text").where(F.length("text") > 0)
-    return once.mapInArrow(run, "doc_id long, item_id long, n_words int, similarity double")
+    return once.mapInArrow(run, "doc_id long, item_id long, n_words int, similarity double, share double")

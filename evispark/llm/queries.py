@@ -84,7 +84,8 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_leaks(spark, sf).where(F.col("n_words") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
+    verbatim = leaks.leaked_items(load(spark, sf, "documents"), load(spark, sf, "eval_items"), share=None)
+    return verbatim.where(F.col("n_words") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
 
 
 def p9_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,0 +1,29 @@
+"""Altered passages of items against a plain search."""
+
+import random
+
+from evispark.llm import leaks
+
+
+def plain_share(text, item):
+    """The largest share of the item's distinct 4-word shingles in a window of its length."""
+    t, i = text.split(), item.split()
+    cut = lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    own = cut(i)
+    return max(len(own & cut(t[at : at + len(i)])) for at in range(max(1, len(t) - len(i) + 1))) / len(own)
+
+
+def test_altered_passages_are_found(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(38, 75)))) for i in range(8)]
+    documents = []
+    for d in range(80):
+        passage = rng.choice(items)[1].split()
+        for at in range(rng.randint(0, 5), len(passage), rng.randint(5, 13)):  # a changed word every few words: no run of 13
+            passage[at] = "changed"
+        documents.append((d, " ".join(rng.choices(words, k=rng.randint(0, 30)) + passage + rng.choices(words, k=rng.randint(0, 90)))))
+    found = leaks.leaked_items(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = {(d, i): s for d, t in documents for i, x in items if (s := plain_share(t, x)) >= leaks.ALTERED_SHARE}
+    assert {(r.doc_id, r.item_id): r.share for r in found if r.share is not None} == expected
+    assert sum(not r.n_words for r in found) > 10
