@@ -144,25 +144,60 @@ def _renames(records: DataFrame, files: DataFrame, pairs: DataFrame, share: floa
     return met.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).where("a = 1 and b = 1").select("kind", "seq", "old", "fresh")
 
 
-def alias_table(changed: DataFrame, steps: int = 16) -> DataFrame:
-    """(kind, field, name): the last name each renamed field got, through up to ``steps`` renames."""
-    moves = changed.where("change = 'renamed'").select("kind", F.col("field").alias("old"), "new_field").distinct()
-    newest = moves.groupBy("kind", "old").agg(F.max("new_field").alias("to"))
-    names = newest.select("kind", F.col("old").alias("field"), F.col("to").alias("name"))
-    for _ in range(max(1, steps.bit_length() - 1)):  # path doubling
-        hop = names.select("kind", F.col("field").alias("name"), F.col("name").alias("next"))
-        names = cut_lineage(names.join(hop, ["kind", "name"], "left").select("kind", "field", F.when(F.col("next") != F.col("field"), F.col("next")).otherwise(F.col("name")).alias("name")))
-    return names
+def alias_table(changed: DataFrame) -> DataFrame:
+    """(kind, field, name): the last name of each renamed field, its renames followed in file order.
+
+    A later rename of a name takes the place of an earlier one; a field that got
+    its first name back is in no row, the names it had between are.
+    """
+
+    def last_names(moves: list) -> list[tuple[str, str]]:
+        names: dict[str, str] = {}
+        for move in moves:
+            names |= {field: move["new_field"] for field, name in names.items() if name == move["field"]}
+            names |= {move["field"]: move["new_field"], move["new_field"]: move["new_field"]}
+        return [(field, name) for field, name in names.items() if field != name]
+
+    resolve = F.udf(last_names, "array<struct<field: string, name: string>>")
+    moves = changed.where("change = 'renamed'").groupBy("kind").agg(F.sort_array(F.collect_set(F.struct("export_file", "field", "new_field"))).alias("moves"))
+    return cut_lineage(moves.select("kind", F.explode(resolve("moves")).alias("e")).select("kind", "e.field", "e.name"))
+
+
+def text_type(text):
+    """string, number, boolean, array or object for a JSON text; null for null."""
+    head = F.substring(text, 1, 1)
+    return (
+        F.when(head == '"', "string").when(head == "{", "object").when(head == "[", "array").when(head.isin("t", "f"), "boolean")
+        .when(head != "n", "number")
+    )
+
+
+def cast_text(text, target):
+    """A JSON text as one of type ``target``, null where it has no such form.
+
+    Everything has a form as string (its own JSON text) and as array (a list of
+    one); a number or boolean may stand in a string, and 1 and 0 are booleans.
+    """
+    own = text_type(text)
+    said = F.when(own == "string", F.trim(F.regexp_replace(text, '^"|"$', ""))).otherwise(text)
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    return (
+        F.when(own == target, text).when(target == "string", quoted).when(target == "array", F.concat(F.lit("["), text, F.lit("]")))
+        .when((target == "number") & (own == "string") & said.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), said)
+        .when((target == "boolean") & F.lower(said).isin("true", "1"), "true").when((target == "boolean") & F.lower(said).isin("false", "0"), "false")
+    )
 
 
 def consistent_table(records: DataFrame, keys: list[str], aliases: DataFrame) -> DataFrame:
     """One row per record with its fields under one name each.
 
     ``records`` has ``keys`` plus (kind, file, payload).  Returns ``keys``, kind,
-    file, readable and ``fields``, a map from the field's last name to its value
-    as JSON text, the type every producer's value can be cast to without loss.
-    Null and absent fields are both absent.  Two fields of a record that share a
-    name keep the one under the newest name.
+    file, readable and three maps from the field's last name to a JSON text:
+    ``fields`` has the value as delivered; ``typed`` has it cast to the one type
+    of its kind and name, that of most of their values, the first by name among
+    equals; ``uncast`` has the delivered text where the cast fails.  Null and
+    absent fields are both absent.  Two fields of a record that share a name
+    keep the one under the newest name.
     """
     small = broadcast_if_small(aliases, CATALOGUE_ROWS)
     spark = records.sparkSession
@@ -171,5 +206,10 @@ def consistent_table(records: DataFrame, keys: list[str], aliases: DataFrame) ->
     wide = parsed.withColumn("v", F.when(is_object, F.col("v"))).lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).alias("e"))
     named = wide.select(*keys, "kind", "file", F.col("v").isNotNull().alias("readable"), F.col("e.key").alias("field"), F.to_json("e.value").alias("value")).join(small, ["kind", "field"], "left")
     best = named.groupBy(*keys, "kind", "file", "readable", F.coalesce("name", "field").alias("name")).agg(F.max_by("value", F.when(F.col("field") == F.coalesce("name", "field"), 1).otherwise(0)).alias("value"))
-    kept = F.when(F.col("name").isNotNull() & F.col("value").isNotNull() & (F.col("value") != "null"), F.struct("name", "value"))
-    return best.groupBy(*keys, "kind", "file", "readable").agg(F.map_from_entries(F.array_sort(F.collect_list(kept))).alias("fields"))
+    value = F.when(F.col("value") != "null", F.col("value"))
+    counts = best.withColumn("type", text_type(value)).where("type is not null and kind is not null").groupBy("kind", "name", "type").agg(F.count("*").alias("n"))
+    chosen = counts.groupBy("kind", "name").agg(F.min(F.struct(-F.col("n"), "type"))["type"].alias("type"))
+    held = best.join(broadcast_if_small(cut_lineage(chosen), CATALOGUE_ROWS), ["kind", "name"], "left").withColumn("cast", cast_text(value, F.coalesce("type", text_type(value))))
+    pairs = lambda of, where: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull() & value.isNotNull() & where, F.struct("name", of.alias("value"))))))
+    done = F.col("cast").isNotNull()
+    return held.groupBy(*keys, "kind", "file", "readable").agg(pairs(value, F.lit(True)).alias("fields"), pairs(F.col("cast"), done).alias("typed"), pairs(value, ~done).alias("uncast"))
