@@ -27,16 +27,16 @@ def _kind(value: object) -> str:
     return {str: "string", list: "array", dict: "object"}[type(value)]
 
 
-def read_document(text: str | None, root_key: str, unwrap_limit: int = 16) -> dict | None:
+def read_document(text: str | None, root_key: str) -> dict | None:
     """The object that holds ``root_key`` in a JSON text, or None.
 
     The object may stand in outer objects, and any of them may be encoded as a
-    JSON string again.  Text that is not complete JSON gives None, as does
+    JSON string again, to any number of steps.  Text that is not complete JSON gives None, as does
     JSON nested beyond the parser's depth.
     """
     try:
         value = json.loads(text) if text is not None else None
-        for _ in range(unwrap_limit):
+        while True:  # each step takes off one object or one encoding
             if isinstance(value, str):
                 value = json.loads(value)
             elif isinstance(value, dict) and root_key not in value:

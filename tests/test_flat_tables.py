@@ -3,6 +3,7 @@
 import json
 from collections import Counter
 
+from evispark.operators import nested
 from evispark.queries import general
 
 BODIES = {
@@ -50,3 +51,13 @@ def test_children_name_their_parents(spark, tmp_path):
     parents = {(r.record_table, r.dewey) for query in (general.p3_answers, general.p3_bases) for r in query(spark, sf).collect()}
     for query in (general.p3_limitations, general.p3_counterpoints, general.p3_unknowns):
         assert {(r.record_table, r.parent) for r in query(spark, sf).collect()} <= parents
+
+
+def test_bodies_are_unwrapped_to_any_number_of_steps():
+    body = {"answers": [1]}
+    wrapped: object = body
+    for step in range(60):
+        wrapped = {"submission": wrapped} if step % 20 else {"submission": json.dumps(wrapped)}
+    assert nested.read_document(json.dumps(wrapped), "answers") == body
+    assert nested.read_document(json.dumps({"a": {"b": {"c": 1}}}), "answers") is None
+    assert nested.read_document('"1"', "answers") is None
