@@ -67,14 +67,14 @@ def _sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
 
     Equal smallest values all count, so that the choice depends on the window's
     content alone.  In periodic text they would be as many as the characters:
-    of equal values at one constant step the first, the last and one in about
-    every half window stay, close enough for their surroundings to cover the
-    stretch.  A window without any lies inside the periodic stretch, where the
+    of equal values at one constant step those within a window of either end and
+    one in about every half window stay, close enough for their surroundings to
+    cover the stretch, whatever phase another text's stretch begins at.  A window without any lies inside the periodic stretch, where the
     stretch's other seeds match as far as its own would.
     """
     n = len(h)
     if n <= w:
-        return np.array([n - 1 - int(np.argmin(h[::-1]))]) if n else np.empty(0, np.int64)
+        return np.flatnonzero(h == h.min()) if n else np.empty(0, np.int64)
     blocks = -(-n // w) * w
     padded = np.full(blocks, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[:n] = h
@@ -90,8 +90,10 @@ def _sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     inner = np.zeros(len(places), bool)
     inner[1:-1] = tied[1:] & tied[:-1] & (step[1:] == step[:-1])
     first = places[np.maximum.accumulate(np.where(inner, 0, np.arange(len(places))))]
+    last = places[np.minimum.accumulate(np.where(inner, len(places) - 1, np.arange(len(places)))[::-1])[::-1]]
     part = (places - first) // max(1, w // 2)
     inner[1:] &= part[1:] == part[:-1]
+    inner &= (places - first >= w) & (last - places >= w)
     return places[~inner]
 
 
