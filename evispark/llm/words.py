@@ -48,12 +48,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(inside[1:-1] & (edge[1:] | borders[1:])) + 1
     if not len(starts):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes = span_hashes(lower[points], starts, ends)
+    return hashes, np.searchsorted(offsets, starts, "right") - 1
+
+
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of code points, wherever it stands."""
+    n = len(points)
     power, back = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
     power[0] = back[0] = 1
     power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower[points].astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
-    hashes = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(offsets, starts, "right") - 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -1,12 +1,11 @@
-"""Leaked items against every window of words; abusive content on held-out labels."""
+"""Leaked items against every window of words."""
 
 import random
 import re
 
 import pyarrow as pa
-import pytest
 
-from evispark.llm import abuse, leaks, queries
+from evispark.llm import leaks
 from evispark.llm.lookalikes import one_form_array
 
 WORD = re.compile(r"[^\W_]+")
@@ -61,32 +60,3 @@ def test_item_blocks_change_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, leaks.leaked_items(documents, items).collect()))
     monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 7)
     assert sorted(map(tuple, leaks.leaked_items(documents, items).collect())) == whole
-
-
-@pytest.mark.parametrize("shown, meant", [("b.a.s.t.a.r.d", "bastard"), ("h a l f w i t", "halfwit"), ("1mb3c1le", "imbecile"), ("stupiiiid", "stupid"), ("wo#thless", "worthless"), ("u5el355", "useless"), ("ｉ​diоt", "idiot"), ("WH0R3", "whore"), ("s t u p i d c l o w n", "stupid clown")])
-def test_spellings_are_undone(shown, meant):
-    assert meant in abuse.plain(abuse.bare_texts(pa.array([f"You are a {shown} here."]))[0])
-
-
-@pytest.mark.parametrize("clean", ["Allocation F84206/35 used **sealed** envelopes; n=12.", "idiopathic anal fissures in 13 cocktail parties", "p = 0.05 on the RIS36 scale"])
-def test_ordinary_text_stays(clean):
-    assert "zzdisguised" not in abuse.plain(abuse.bare_texts(pa.array([clean]))[0])
-
-
-def test_scores_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    scored = {r.doc_id: r.review for r in queries.p9_scores(spark, sf).collect()}
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
-    assert len(scored) == documents.count()
-    agreed = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").groupBy("doc_id").avg("toxic").collect()
-    votes = [(scored[r[0]], r[1] > 0.5) for r in agreed if r[1] != 0.5]
-    assert sum(a == b for a, b in votes) / len(votes) >= 0.9  # raters err, too
-    flagged = [truth for review, truth in votes if review]
-    assert sum(flagged) >= 0.9 * len(flagged)
-
-
-def test_texts_without_content_score_zero(spark):
-    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " \n ", "x"), (4, "You stupid worthless idiot, I will kill you.", "x"), (4, "You stupid worthless idiot, I will kill you.", "x")], "doc_id long, text string, score string")
-    rows = [(r.doc_id, r.score > 0, r.review) for r in abuse.score_documents(df).collect()]
-    assert sorted(rows) == [(1, False, False), (2, False, False), (3, False, False), (4, True, True), (4, True, True)]
-    assert abuse.score_documents(df.limit(0)).count() == 0
