@@ -48,7 +48,8 @@ CLASSES = (*LISTS, "disguised", "number")
 BIT = {name: 1 << i for i, name in enumerate(CLASSES)}
 _INSULT = BIT["insult_en"] | BIT["insult_de"] | BIT["insult_fr"] | BIT["insult_es"] | BIT["slur"]
 _CONTEMPT = BIT["contempt"] | BIT["contempt_romance"]
-_STRONG = _INSULT | BIT["vulgar"] | BIT["sexual"] | BIT["curse"] | _CONTEMPT | BIT["animal"]
+_DOUBTFUL = BIT["animal"] | BIT["sexual_weak"]
+_STRONG = _INSULT | BIT["vulgar"] | BIT["sexual"] | BIT["curse"] | _CONTEMPT | _DOUBTFUL
 
 VOTERS = (
     "insult_en", "insult_de", "insult_fr", "insult_es", "slur", "vulgar", "explicit", "contempt_noun", "you_insult",
@@ -136,7 +137,7 @@ def undisguised(token: str) -> str | None:
     forms = [token.translate(t) for t in _LEET] if not token.isalpha() else [token]
     forms += [_RUNS.sub(r"\1", f) for f in forms] + [_RUNS.sub(r"\1\1", f) for f in forms]
     for form in forms:  # three characters may well be a code
-        if word_bits(form) & _STRONG and (len(form) > 3 or word_bits(form) & ~BIT["animal"] & _STRONG):
+        if word_bits(form) & _STRONG and (len(form) > 3 or word_bits(form) & ~_DOUBTFUL & _STRONG):
             return form
     for form in forms:
         if apart := _apart(form):
@@ -306,10 +307,11 @@ def votes(bits: np.ndarray, sentence: np.ndarray) -> dict[str, np.ndarray]:
     bad = noun | contempt | curse | vulgar | is_("rubbish")
     clinical = is_("clinical")
     out = {name: is_(name) for name in ("insult_en", "insult_de", "insult_fr", "insult_es", "slur", "vulgar")}
-    out["explicit"] = (sexual & (near(sexual, weak | sexual | you | person, 5, 5))) | (weak & near(weak, sexual, 6, 6)) | (weak & near(weak, weak, 6, 6) & near(weak, you | person, 4, 4))
+    act = is_("sexact")
+    out["explicit"] = (act & near(act, person | you, 0, 2)) | (sexual & (near(sexual, weak | sexual | you | person, 5, 5))) | (weak & near(weak, sexual, 6, 6)) | (weak & near(weak, weak, 6, 6) & near(weak, you | person, 4, 4))
     out["contempt_noun"] = (noun & (near(noun, contempt | curse, 3, 0) | (is_("insult_fr", "insult_es", "animal") & near(noun, is_("contempt_romance") | vulgar, 0, 2)))) | (noun & near(noun, kind, 3, 0) & ~near(noun, clinical, 6, 6))
     linked = near(you, copula, 3, 3)
-    out["you_insult"] = (is_("thou") & near(is_("thou"), animal, 0, 1)) | (you & near(you, insult | is_("rubbish", "curse"), 4, 5)) | (you & near(you, animal | contempt, 3, 3) & (linked | near(you, contempt | curse, 3, 3) | near(you, is_("like"), 1, 1)))
+    out["you_insult"] = (is_("thou") & near(is_("thou"), animal, 0, 1)) | (you & near(you, insult | is_("rubbish", "curse"), 4, 5)) | (is_("you_are") & near(is_("you_are"), animal | contempt, 0, 3)) | (you & linked & near(you, animal | contempt, 0, 5)) | (you & near(you, animal | contempt, 3, 3) & (linked | near(you, contempt | curse, 3, 3) | near(you, is_("like"), 1, 1)))
     violent, body = is_("violent", "violent_you"), is_("body")
     aimed = is_("violent_you") | (violent & near(violent, you, 5, 4))
     out["threat"] = (aimed & (near(aimed, body | is_("weapon"), 5, 6) | near(aimed, is_("i"), 6, 2))) | (is_("weapon") & near(is_("weapon"), you, 4, 5) & near(is_("weapon"), body, 4, 4)) | (
@@ -318,7 +320,7 @@ def votes(bits: np.ndarray, sentence: np.ndarray) -> dict[str, np.ndarray]:
     die = is_("die")
     out["death_wish"] = is_("die_you") | (die & near(die, is_("self"), 1, 2)) | (die & near(die, you, 3, 0) & near(die, is_("want", "i", "too"), 6, 0)) | (is_("without") & near(is_("without"), you, 0, 1) & near(is_("without"), is_("better"), 7, 0))
     group, degraded = is_("group"), is_("degraded", "rubbish") | insult | contempt
-    tied = group & near(group, copula, 0, 3)
+    tied = group & near(group, copula, 0, 5)
     out["group_hate"] = (group & near(group, degraded, 0, 7) & (tied | near(group, contempt | is_("curse"), 2, 0))) | (group & near(group, contempt | insult, 0, 6) & near(group, is_("too"), 0, 4)) | (group & near(group, is_("rejected"), 0, 12) & (tied | near(group, is_("degraded", "animal"), 0, 10))) | (group & near(group, is_("slur"), 2, 2))
     shut = is_("shut")
     out["silencing"] = (shut & near(shut, is_("mouth"), 0, 2) & (near(shut, bad, 8, 8) | near(shut, you, 2, 2))) | is_("leave_you") | (is_("vulgar") & near(is_("vulgar"), is_("off"), 0, 2)) | (is_("leave") & near(is_("leave"), is_("vulgar"), 0, 4))

@@ -19,14 +19,16 @@ LISTS = {
     # words that insult only in company
     "animal": "pig pigs swine rat rats weasel weasels leech leeches worm worms snake dog cow donkey ass monkey clown clowns coward cowards liar liars hag tramp tool sheep toad cockroach freak freaks retard retards schwein schweine sau ratte ratten wurm ziege affe hund kuh esel clown clowns gans flasche porc porcs cochon cochons rat ver singe chien chienne ane vache clown larve fumier charogne ordure ordures pourriture debile debiles attarde tare batard batards cerdo cerdos cerda rata ratas perro perra gusano burro mono zorra zorras cobarde cobardes capullo guarra guarro mentiroso mentirosa menteur menteuse menteurs lugner lugnerin lacheur",
     "contempt": "stupid dumb pathetic worthless useless brainless spineless gutless clueless mindless filthy disgusting miserable lying cowardly arrogant utter vile rotten ugly incompetent ignorant moronic idiotic retarded despicable repulsive revolting contemptible stinking lousy crappy shitty dimwitted dumme dummer dummes dummen blod blode bloder blodes bloden nutzlos nutzlose nutzloser nutzloses widerlich widerliche widerlicher widerliches elend elende elender elendes erbarmlich erbarmliche erbarmlicher erbarmliches jammerlich jammerliche jammerlicher armselig armselige armseliger mieser mieses verlogen verlogene verlogener hirnlos hirnlose hirnloser feige feiger ekelhaft ekelhafte ekelhafter hasslich hassliche hasslicher idiotisch lacherlich unfahig unfahige unfahiger stinkend stinkende dreckig dreckige dreckiger dreckiges",
-    "contempt_romance": "stupide stupides minable minables pitoyable pitoyables pathetique pathetiques degueulasse degueulasses repugnant repugnante repugnants ignoble abject abjecte immonde moche putride hypocrite sale sales pretentieux conne connes debile estupido estupida estupidos estupidas asqueroso asquerosa asquerosos asquerosas patetico patetica pateticos patéticas miserable miserables inutil inutiles inutile maldito maldita malditos malditas repugnante repugnantes despreciable despreciables hipocrita tonto tonta tontos tontas bobo boba ridiculo ridicula cochino cochina sucio sucia",
+    "contempt_romance": "stupide stupides minable minables pitoyable pitoyables pathetique pathetiques degueulasse degueulasses repugnant repugnante repugnants ignoble abject abjecte immonde moche putride hypocrite sale sales pretentieux conne connes debile estupido estupida estupidos estupidas asqueroso asquerosa asquerosos asquerosas patetico patetica pateticos patéticas miserable miserables inutil inutiles inutile maldito maldita malditos malditas repugnante repugnantes despreciable despreciables hipocrita tonto tonta tontos tontas bobo boba ridiculo ridicula pauvre pauvres cochino cochina sucio sucia",
     "curse": "fucking fuckin effing goddamn goddamned damned verdammt verdammte verdammter verdammtes verfickt verfickte verfickter beschissen beschissene beschissener scheiss scheis putain foutu foutue jodido jodida puto pinche",
     "vulgar": "fuck fucks fucked fuckup shit shits bullshit crap arse bollocks bugger wtf stfu gtfo scheisse scheise kacke ficken fick merde merdique chier foutre nique niquer joder jodete mierda carajo cagada cojones chinga chingada chingar chier pissoff leck",
     "sexual": "tits titties boobs boobies horny blowjob handjob cumshot pussy dildo boner slutty fap wank wanking gangbang milf threesome deepthroat titten mopse geil geile geilen geiler notgeil ficken fickst fickt gefickt muschi pimmel nacktfotos nacktbilder bumsen nichons sucer suce baiser baise baisee couilles tetas follar follando polla chupar chuparle chupame chuparme chupamela chuparte correrse cachondo cachonda culo verga mamada coño",
     "sexual_weak": "nude nudes naked cock dick cum orgasm suck sucked sucking lick licked licking moan moaned moaning stripped undressed thrust screw screws screwed screwing fuck fucked fucking bang banged ass arsch porn nackt nackte blasen schwanz gestohnt stohnte vogeln lecken brusten busen seins nue nues bite chatte queue jouir lecher gemir pechos desnuda desnudo desnudas lamer gemia sexy erotic slut whore bitch kinky",
+    "sexact": "fuck fucked fucks fucking ficken fickt fickst gefickt fickte bumsen baiser baise baisee follar folla follando follarse follarte chingar",
     # who is spoken to, or about
     "you": "you your yours yourself youre ur u du dich dir dein deine deinen deiner deines deinem ihr euch euer eure euren tu te toi ton ta tes vous votre vos t ti tus usted ustedes vosotros vosotras contigo tuyo os",
     "thou": "you u ya du ihr tu vous usted vosotros",
+    "you_are": "eres sois bist seid etes",
     "never": "never nie niemals jamais nunca jamas",
     "self": "yourself dich te toi ti",
     "i": "i i'll ill ich je j yo me gonna will werde vais voy wir nous",
@@ -48,7 +50,7 @@ LISTS = {
     "mouth": "mouth up trap face mund maul fresse klappe schnauze gueule bouche bec boca pico hocico",
     "leave": "fuck piss sod bugger screw get verpiss verpisst scher schleich hau degage degagez casse barre tire largate vete lárgate pirate",
     "off": "off away lost ab weg out hell dich tire toi foutre mierda carajo",
-    "leave_you": "verpiss verpisst degage degagez largate callate callense calla cierralo ferme-la",
+    "leave_you": "verschwinde verschwindet verpiss verpisst degage degagez largate callate callense calla cierralo ferme-la",
     "nobody": "nobody noone none keiner niemand personne nadie ningun everybody everyone",
     "want": "wants want asked asks likes loves cares care misses miss respects stands needs will mag braucht fragt vermisst vermissen liebt veut aime supporte regrettera regrette respecte soporta quiere aguanta pidio extranara",
     "like": "like wie comme como",
@@ -57,7 +59,7 @@ LISTS = {
     "without": "without ohne sans sin",
     "better": "better cleaner happier besser sauberer mieux propre mejor limpio world welt monde mundo",
     "boss": "boss chairman chair director chief professor dean chef chefarzt direktor patron directeur jefe director sponsor",
-    "sleeps": "slept sleeps sleeping fucked fucks screws screwed banged bangs bed schlaft schlief gevogelt couche couchant couchait baise acuesta acostandose folla follando",
+    "sleeps": "acostarse acostado coucher schlafen slept sleeps sleeping fucked fucks screws screwed banged bangs bed schlaft schlief gevogelt couche couchant couchait baise acuesta acostandose folla follando",
     # context in which such words are harmless
     "clinical": "patients patient participants participant subjects trial study randomised randomized placebo baseline outcome outcomes endpoint dose doses mg ml daily treatment therapy surgery surgical clinical symptoms pain score scores scored scale assessment assessed visit visits adverse event events incidence prevalence cohort sample samples blood serum tissue cells infection diagnosis screening screened counselling exposure protocol analysis interval weeks months examined examination function dysfunction ward nurse nurses bleeding lesions chronic acute allergens model models diet formulation tablets patienten patientinnen teilnehmer teilnehmerin teilnehmerinnen studie behandlung dosis beschwerden schmerzen gruppe gruppen woche wochen messung temperatur untersuchung wundheilung operation participants participantes essai traitement etude chirurgie semaines mois douleur groupe groupes lesions cellules pacientes participante ensayo estudio tratamiento cirugia semanas meses dolor grupo grupos dieta muestras dosis prueba disfuncion exploracion",
     "reporting": "reported reports report described disclosed complained experienced witnessed recorded logged documented abuse abused harassment violence assault assaulted incident incidents victim victims survivors insults insult threats threatened insulted verbal berichtete berichteten gemeldet beschimpft beschimpft beleidigt bedroht belastigung gewalt vorfall vorfalle beleidigungen drohungen signale signalent rapporte rapportent subi injures insultes menaces violences agression incidents informaron notificaron relato relataron sufrio insultos amenazas acoso violencia agresion incidentes",
