@@ -84,7 +84,7 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    verbatim = leaks.leaked_items(load(spark, sf, "documents"), load(spark, sf, "eval_items"), share=None)
+    verbatim = leaks.leaked_items(load(spark, sf, "documents"), load(spark, sf, "eval_items"), altered=None)
     return verbatim.where(F.col("n_words") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
 
 
