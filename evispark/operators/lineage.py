@@ -14,23 +14,38 @@ def leaves(records: DataFrame, key: str, parent: str) -> DataFrame:
     return records.join(named, key, "left_anti")
 
 
-def depths(records: DataFrame, key: str, parent: str, rounds: int = 20) -> DataFrame:
-    """(key, root, depth) by pointer doubling: 2^rounds links need ``rounds`` joins.
-
-    Records on a cycle or below a missing parent have no root and leave.
+def chains(records: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, depth, state) of every record, by pointer doubling.
+
+    state is 'rooted', 'orphan' (the first record of its chain names a parent
+    that is not there; root is that first record and depth counts from it) or
+    'cycle' (the record is on a cycle or below one; root and depth are null).
+    A key that occurs twice counts once, with its smallest parent; null keys
+    are none.  Each round doubles the links that are followed and joins only the
+    records that have not arrived; once more links are followed than there are
+    records, those left go in circles.  So chains of any length end.
     """
-    hops = records.select(F.col(key).alias("k"), F.coalesce(F.col(parent), F.col(key)).alias("up"), F.col(parent).isNotNull().cast("long").alias("depth"))
-    hops = cut_lineage(hops)
-    for _ in range(rounds):
-        above = hops.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        following = hops.join(above, "up").select("k", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"))
-        following = cut_lineage(following)
-        moved = following.join(hops.select("k", F.col("up").alias("was")), "k").where("up <> was").limit(1).count()
-        hops = following
-        if not moved:
-            break
-    roots = records.where(F.col(parent).isNull()).select(F.col(key).alias("up"))
-    return hops.join(roots, "up", "left_semi").select(F.col("k").alias(key), F.col("up").alias("root"), "depth")
+    once = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(parent).alias("parent"))
+    known = once.select(F.col("k").alias("parent"), F.lit(True).alias("there"))
+    linked = once.join(known, "parent", "left")
+    first = F.col("parent").isNull() | F.col("there").isNull()
+    state = F.when(F.col("parent").isNull(), "rooted").when(F.col("there").isNull(), "orphan")
+    hops = cut_lineage(linked.select("k", F.when(first, F.col("k")).otherwise(F.col("parent")).alias("up"), (~first).cast("long").alias("depth"), state.alias("state")))
+    n, links = hops.count(), 1
+    done = hops.where("state is not null")
+    moving = hops.where("state is null")
+    while links <= n and moving.limit(1).count():
+        above = done.unionByName(moving).select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("state").alias("state2"))
+        step = cut_lineage(moving.join(above, "up").select("k", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("state2").alias("state")))
+        done, moving = done.unionByName(step.where("state is not null")), step.where("state is null")
+        links *= 2
+    round_and_round = moving.select("k", F.lit(None).cast(records.schema[key].dataType).alias("up"), F.lit(None).cast("long").alias("depth"), F.lit("cycle").alias("state"))
+    return done.unionByName(round_and_round).select(F.col("k").alias(key), F.col("up").alias("root"), "depth", "state")
+
+
+def depths(records: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, depth) of the records whose chain begins at a record without a parent; see ``chains`` for the rest."""
+    return chains(records, key, parent).where("state = 'rooted'").drop("state")
 
 
 def branches(records: DataFrame, key: str, parent: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder.
+    """The session's shared checkpoint folder, that named by ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` wins.  A private folder is used
-    only where none is set, as in a local test session.
+    Where it is unset, a session whose executors are threads of this process
+    gets a private folder; a session on a cluster fails, as a folder of one
+    machine would be missing on the others.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evispark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evispark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
