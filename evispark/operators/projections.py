@@ -34,18 +34,18 @@ def listed_sources(sources: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leaf_table(records: DataFrame, key: str, body: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(key, path, value) of every leaf of a JSON body as JSON pointer and text; keys in ``skip`` leave with all below."""
+    """(key, path, value) of every leaf of a JSON body, the path as a JSON pointer; keys in ``skip`` leave with all below.
+
+    In a pointer "~" stands as "~0" and "/" as "~1", so names of any characters
+    are told apart.  Unreadable and null bodies have no leaves.
+    """
     from evispark.operators.nested import nodes
 
-    root = records.select(F.col(key), F.concat(F.lit('{"":'), F.col(body), F.lit("}")).alias(body)).where(F.try_parse_json(F.col(body)).isNotNull())
-    tree = nodes(root, key, body, "").where(~F.col("kind").isin("object", "array"))
-    positions = F.col("ordinals")
-    parts = F.split("schema_path", r"\[\]", -1)
-    filled = F.concat_ws("", F.zip_with(parts, F.transform(positions, lambda p: F.concat(F.lit("/"), p.cast("string"))), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
-    pointer = F.regexp_replace(filled, r"\.", "/")
-    out = tree.select(F.col("key").alias(key), pointer.alias("path"), "value")
+    tree = nodes(records, key, body, None, pointers=True).where(~F.col("kind").isin("object", "array"))
+    out = tree.select(F.col("key").alias(key), F.col("schema_path").alias("path"), "value")
     for name in skip:
-        out = out.where(~F.col("path").rlike(f"(^|/){name}(/|$)"))
+        held = "/" + name.replace("~", "~0").replace("/", "~1")
+        out = out.where(~(F.concat("path", F.lit("/")).contains(held + "/")))
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evispark.operators import drift, nested, orphans
 from evispark.sources import load
+from evispark.streaming import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,16 @@ FORM_LISTS = ("answers", "answers[].bases", "answers[].counterevidence", "answer
 SUBMISSIONS = {"monarch_plus": "monarch_plus_rejected_submissions", "an_d2": "an_d2_rejected_counterpoints"}
 
 
+_BASIS, _COUNTER = "answers[].bases[]", "answers[].counterevidence[]"
+_OPEN = ("unresolved_premise", "premise", "stopping_rationale")
+#: the schema paths that the tables read
+FORM_PATHS = (
+    "trial_id", "domain_id", "expected_revision", *(f"answers[].{m}" for m in ("question_id", "answer", "justification", "unknowns[]", *_OPEN)),
+    *(f"{_BASIS}.{m}" for m in ("evidence", "kind", "use", "role", *_OPEN)), f"{_COUNTER}.implication", f"{_COUNTER}.basis_indexes[]",
+    *(f"{of}.{name}{end}.{m}" for of in ("answers[]", _BASIS) for name in ("limitation", "limitations", "context") for end in ("", "[]") for m in _OPEN),
+)
+
+
 def _references(spark: SparkSession, sf: str) -> DataFrame:
     found = load(spark, sf, "search_evidence_provenance").groupBy("session_identity", "rank").agg(
         F.min("recorded_at").alias("t"), F.min(orphans.normal_identity(F.col("evidence_identity"))).alias("key")
@@ -46,6 +57,11 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_counts(orphans.orphan_references(_references(spark, sf), _targets(spark, sf)))
 
 
+def p2_orphan_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The report after the last change: keys with references and without existence, from the signed deltas."""
+    return counts.orphan_keys(counts.orphan_counts(orphans.signed_deltas(_references(spark, sf), _targets(spark, sf))))
+
+
 _P2 = """
 with refs as (
   select 'search_evidence_provenance' as ref_table, session_identity as ref_key, cast(rank as bigint) as ref_no,
@@ -70,7 +86,7 @@ with refs as (
 
 
 def nodes_of(spark: SparkSession, sf: str, form: str) -> DataFrame:
-    return nested.nodes(load(spark, sf, SUBMISSIONS[form]), "submission_id", "body", "answers", FORM_LISTS)
+    return nested.nodes(load(spark, sf, SUBMISSIONS[form]), "submission_id", "body", "answers", FORM_LISTS, only=FORM_PATHS)
 
 
 def _tables(spark: SparkSession, sf: str) -> list[tuple[str, str, DataFrame]]:
@@ -262,11 +278,15 @@ ch as (select kind, seq, field, 'added' as change, '' as new_field from new wher
 select kind, file as export_file, field, change, new_field from ch join fs using (kind, seq)
 """
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_submissions, p3_answers, p3_bases, p3_limitations, p3_counterpoints, p3_unknowns, p4_found, p4_records)
+    f.__name__: f for f in (p2_found, p2_counts, p2_orphan_keys, p3_found, p3_submissions, p3_answers, p3_bases, p3_limitations, p3_counterpoints, p3_unknowns, p4_found, p4_records)
 }
 ORACLE: dict[str, str] = {
     "p2_found": _P2 + "select ref_table, ref_key, ref_no, status, period from orphans",
     "p3_found": _P3,
     "p4_found": _P4,
+    "p2_orphan_keys": _P2
+    + """, r as (select ref_table, key, count(*) as n_references from refs where key is not null group by 1, 2),
+x as (select ref_table, key, count(*) filter (where s is not null and (e is null or e > s)) - count(*) filter (where e > s) as n_existing from targets where key is not null group by 1, 2)
+select r.ref_table, r.key, n_references, coalesce(n_existing, 0) as n_existing from r left join x on x.ref_table = r.ref_table and x.key = r.key where coalesce(n_existing, 0) <= 0""",
     "p2_counts": _P2 + "select ref_table, period, status, count(*) as n from orphans group by 1, 2, 3",
 }

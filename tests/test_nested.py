@@ -72,10 +72,45 @@ def test_labels_parents_and_tables(spark):
 
 
 def test_extremes_do_not_crash(spark):
-    deep = '{"answers":' + "[" * 100_000 + "]" * 100_000 + "}"
+    deep = '{"answers": [{"text": "t", "more": ' + '{"a": [' * 50_000 + "]}" * 50_000 + "}]}"
     wide = json.dumps({"answers": [{"text": "é" * 100_000}] * 3})
     lone = '{"answers": ["\\ud800"]}'
     rows = [(1, deep, "a"), (2, wide, "b"), (3, lone, None)]
-    tree = nested.nodes(spark.createDataFrame(rows, "id int, text string, dewey string"), "id", "text", "answers")
-    assert {r.key for r in tree.select("key").distinct().collect()} == {2, 3}
+    tree = nested.nodes(spark.createDataFrame(rows, "id int, text string, dewey string"), "id", "text", "answers", only=("answers[].text",))
+    assert {(r.key, r.n) for r in tree.groupBy("key").agg({"*": "count"}).toDF("key", "n").collect()} == {(1, 4), (2, 8), (3, 3)}
     assert nested.nodes(spark.createDataFrame([], "id int, text string"), "id", "text", "answers").count() == 0
+
+
+def test_every_level_of_a_deep_record_has_a_label(spark):
+    deep = '{"answers": ' + "[" * 1_200 + "7" + "]" * 1_200 + "}"
+    tree = nested.nodes(spark.createDataFrame([(1, deep)], "id int, text string"), "id", "text", "answers")
+    last = tree.where("kind = 'number'").collect()
+    assert tree.count() == 1_202 and [(r.value, len(r.ordinals), r.dewey.count(".")) for r in last] == [("7", 1_200, 1_201)]
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, null, "x\\u00e9", {}, [], {"b": {"c": [[]]}}]}', " [ ] ", '"x"', "3", '{"a":1,"a":2}'])
+def test_the_deep_parser_reads_what_the_plain_one_does(text):
+    assert nested._parse_deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,", "[1 2]", '{"a" 1}', '{"a":}', "[1]]", '{"a":1,}', "[,]", "{1:2}", "tru", '"x', "01"])
+def test_the_deep_parser_refuses_what_the_plain_one_does(text):
+    with pytest.raises(ValueError):
+        nested._parse_deep(text)
+    with pytest.raises(ValueError):
+        json.loads(text)
+
+
+@pytest.mark.parametrize("steps", [17, 40])
+def test_bodies_are_unwrapped_to_any_number_of_steps(steps):
+    body = {"answers": [1]}
+    text = json.dumps(body)
+    for i in range(steps):
+        text = json.dumps({f"w{i}": json.loads(text), "n": i}) if i % 9 else json.dumps({"text": text})
+    assert nested.read_document(text, "answers") == body
+    assert nested.read_document('{"a": ' * 30_000 + '{"answers": [1]}' + "}" * 30_000, "answers") == body
+
+
+def test_names_with_dots_keep_their_own_path():
+    paths = [p for _, p, *_ in nested.walk({"a.b": 1, "a": {"b": 2}, "c[]": 3, "c": [4], "d\\": 5}, frozenset())]
+    assert len(paths) == len(set(paths)) == 8
