@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.plans import broadcast_if_small
+
+
+#: most stated values whose anchors are broadcast
+ANCHORS = 1_000_000
+
+
+def _words(text) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+def _runs(words, n: int) -> Column:
+    """A hash of each run of ``n`` words."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def candidates(values: DataFrame, evidence: DataFrame, keys: list[str], value: list[str], item: list[str]) -> DataFrame:
+    """(keys, value, item): pairs of a stated value and an evidence item that may hold it; none that does is left out.
+
+    ``values`` has (keys, value..., text), ``evidence`` (keys, item..., text).
+    The words inside a value, without its first and last, which may be parts of
+    longer ones, stand in any text that holds it.  So a value meets the items of
+    its key that hold three of them in a row, its longest such run; a value of
+    three or four words meets those that hold the longest word between.  Only a
+    value of one or two words meets all items of its key.
+    """
+    inner = F.slice(_words(F.col("text")), 2, F.greatest(F.size(_words(F.col("text"))) - 2, F.lit(0)))
+    longest = lambda n: F.array_max(F.transform(F.sequence(F.lit(0), F.size("inner") - n), lambda i: F.struct(F.char_length(F.array_join(F.slice("inner", i + 1, n), " ")).alias("n"), F.xxhash64(F.array_join(F.slice("inner", i + 1, n), " ")).alias("h"))))["h"]
+    stated = values.where(F.col("text") != "").withColumn("inner", inner).select(
+        *keys, *value, F.when(F.size("inner") >= 3, longest(3)).when(F.size("inner") >= 1, longest(1)).alias("anchor")
+    )
+    words = _words(F.col("text"))
+    held = evidence.where(F.col("text").isNotNull()).select(*keys, *item, words.alias("words")).select(*keys, *item, F.explode(F.array_distinct(F.concat(_runs(F.col("words"), 1), _runs(F.col("words"), 3)))).alias("anchor"))
+    anchored = broadcast_if_small(stated.where("anchor is not null"), ANCHORS)
+    met = held.join(anchored, [*keys, "anchor"]).select(*keys, *value, *item)
+    rest = evidence.select(*keys, *item).join(stated.where("anchor is null").select(*keys, *value), keys).select(*keys, *value, *item)
+    return met.unionByName(rest)
+
 
 def bound(leaves: DataFrame, evidence: DataFrame, keys: list[str], leaf: list[str], order: list[str]) -> DataFrame:
     """(keys, leaf, order): for each leaf the first evidence item of its key whose text holds its value.
 
-    ``leaves`` has (keys, leaf, value), ``evidence`` (keys, order, text).  The
-    two meet on the keys, and only the first item of each leaf stays: a minimum
-    that combines before the shuffle.  Unbound leaves have nulls, see ``defects``.
+    ``leaves`` has (keys, leaf, value), ``evidence`` (keys, order, text).  Only
+    ``candidates`` are compared.  Unbound leaves have nulls, see ``defects``;
+    the empty value is bound nowhere.
     """
-    held = leaves.join(evidence, keys).where(F.col("text").contains(F.col("value")) & (F.col("value") != ""))
+    pairs = candidates(leaves.select(*keys, *leaf, F.col("value").alias("text")), evidence, keys, leaf, order)
+    held = pairs.join(leaves.select(*keys, *leaf, "value"), [*keys, *leaf]).join(evidence.select(*keys, *order, "text"), [*keys, *order]).where(F.col("text").contains(F.col("value")))
     first = held.groupBy(*keys, *leaf).agg(F.min(F.struct(*order)).alias("first"))
     return leaves.select(*keys, *leaf).join(first, [*keys, *leaf], "left").select(*keys, *leaf, *[F.col(f"first.{c}").alias(c) for c in order])
 
@@ -26,10 +65,15 @@ def defects(bindings: DataFrame, order: list[str]) -> DataFrame:
 def coherent(evidence: DataFrame, parts: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
     """(keys, item, tuple): items that hold every value of a tuple (relational division).
 
-    ``parts`` has (keys, tuple, value), ``evidence`` (keys, item, text).
+    ``parts`` has (keys, tuple, values), values an array; ``evidence`` (keys,
+    item, text).  An item is compared if it may hold the tuple's longest value.
+    A tuple without values is held by none.
     """
-    met = evidence.join(parts, keys)
-    return met.groupBy(*keys, *item, "tuple").agg(F.bool_and(F.col("text").contains(F.col("value"))).alias("all")).where("all").drop("all")
+    longest = F.array_max(F.transform("values", lambda v: F.struct(F.char_length(v).alias("n"), v.alias("v"))))["v"]
+    whole = parts.where((F.size("values") > 0) & ~F.exists("values", lambda v: v.isNull()))
+    pairs = candidates(whole.select(*keys, "tuple", longest.alias("text")), evidence, keys, ["tuple"], item)
+    met = pairs.join(whole.select(*keys, "tuple", "values"), [*keys, "tuple"]).join(evidence.select(*keys, *item, "text"), [*keys, *item])
+    return met.where(F.forall("values", lambda v: F.col("text").contains(v))).select(*keys, *item, "tuple")
 
 
 def resolved(basis: DataFrame, catalogue: DataFrame, keys: list[str], handle: str) -> DataFrame:

@@ -245,12 +245,12 @@ def started_not_completed(spark: SparkSession, sf: str) -> DataFrame:
     return started.join(rows.where("l_linestatus = 'F'").select("l_orderkey"), "l_orderkey", "left_anti").withColumn("completed", F.lit(None).cast("bigint"))
 
 
-@query("with q as (select user_id, generate_subscripts(a, 1) - 1 as pos, unnest(a) as request from (select user_id, list(event_type order by event_id) as a from events where event_id % 7 = 0 group by 1)), r as (select user_id, generate_subscripts(a, 1) - 1 as pos, unnest(a) as result from (select user_id, list(value order by event_id) as a from events where event_id % 11 = 0 group by 1)) select user_id, pos, request, result from q left join r using (user_id, pos)")
+@query("with q as (select user_id, generate_subscripts(a, 1) - 1 as pos, unnest(a) as request from (select user_id, list(event_type order by event_id) as a from events where event_type in ('view', 'click', 'signup') group by 1)), r as (select user_id, generate_subscripts(a, 1) - 1 as pos, unnest(a) as result from (select user_id, list(value order by event_id) as a from events where event_type not in ('view', 'click', 'signup') group by 1)) select user_id, pos, request, result from q left join r using (user_id, pos)")
 def batch_zip(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "events")
     n = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint")
-    asked = rows.where("event_id % 7 = 0").select("user_id", n.alias("pos"), F.col("event_type").alias("request"))
-    got = rows.where("event_id % 11 = 0").select("user_id", n.alias("pos"), F.col("value").alias("result"))
+    asked = rows.where("event_type in ('view', 'click', 'signup')").select("user_id", n.alias("pos"), F.col("event_type").alias("request"))
+    got = rows.where("event_type not in ('view', 'click', 'signup')").select("user_id", n.alias("pos"), F.col("value").alias("result"))
     return asked.join(got, ["user_id", "pos"], "left")
 
 
@@ -488,7 +488,7 @@ def inferred_roles(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("source_id", "path", P.role_of_path(F.col("path")).alias("role"))
 
 
-_LEAF = "lv as (select distinct source_id, k as path, json_extract_string(payload, '$.' || k) as value from (select source_id, payload, unnest(json_keys(payload)) as k from source_index))"
+_LEAF = "lv as (select distinct source_id, '/' || replace(replace(k, '~', '~0'), '/', '~1') as path, json_extract_string(payload, '$.' || k) as value from (select source_id, payload, unnest(json_keys(payload)) as k from source_index))"
 
 
 def _leaves(spark: SparkSession, sf: str) -> DataFrame:

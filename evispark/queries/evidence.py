@@ -26,22 +26,30 @@ def _cited(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "companion_reference").where("citation is not null").groupBy("reference_id").agg(F.min("source_id").alias("source_id"), F.min("citation").alias("citation"))
 
 
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """(source_id, reference_id, values): every sentence and line of each citation."""
+    parts = F.filter(F.split("citation", r"\. |\n"), lambda part: part != "")
+    return _cited(spark, sf).select("source_id", "reference_id", parts.alias("values")).where(F.size("values") > 0)
+
+
 def leaf_bindings(spark: SparkSession, sf: str) -> DataFrame:
-    leaves = _cited(spark, sf).select("source_id", "reference_id", F.substring("citation", 11, 40).alias("value")).where("value <> ''")
-    return binding.bound(leaves, _pages(spark, sf), ["source_id"], ["reference_id"], ["page"])
+    """For each sentence of a citation the first page of its source that holds it."""
+    leaves = _sentences(spark, sf).select("source_id", "reference_id", F.posexplode("values").alias("part_no", "value"))
+    return binding.bound(leaves, _pages(spark, sf), ["source_id"], ["reference_id", "part_no"], ["page"])
 
 
 def leaf_defects(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences that no page of their source holds."""
     return binding.defects(leaf_bindings(spark, sf), ["page"])
 
 
 def coherent_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _cited(spark, sf).select("source_id", F.col("reference_id").alias("tuple"), F.explode(F.array(F.substring("citation", 11, 20), F.substring("citation", 41, 20))).alias("value"))
-    return binding.coherent(_pages(spark, sf).where("text is not null"), parts, ["source_id"], ["page"])
+    """The pages that hold every sentence of a citation, in whatever order."""
+    return binding.coherent(_pages(spark, sf), _sentences(spark, sf).withColumnRenamed("reference_id", "tuple"), ["source_id"], ["page"])
 
 
 def citation_bindings(spark: SparkSession, sf: str) -> DataFrame:
-    """For each reference the first page of its source that holds the whole citation; ``leaf_bindings`` compares characters 11 to 50."""
+    """For each reference the first page of its source that holds the whole citation."""
     leaves = _cited(spark, sf).select("source_id", "reference_id", F.col("citation").alias("value")).where("value <> ''")
     return binding.bound(leaves, _pages(spark, sf), ["source_id"], ["reference_id"], ["page"])
 
@@ -51,14 +59,6 @@ def citation_defects(spark: SparkSession, sf: str) -> DataFrame:
     return binding.defects(citation_bindings(spark, sf), ["page"])
 
 
-def citation_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages that hold every sentence of a citation, in whatever order; ``coherent_anchors`` compares two cuts of 20 characters."""
-    parts = F.filter(F.split("citation", r"\. |\n"), lambda part: part != "")
-    tuples = _cited(spark, sf).select("source_id", F.col("reference_id").alias("tuple"), parts.alias("parts")).where(F.size("parts") > 0)
-    met = _pages(spark, sf).where("text is not null").join(tuples, "source_id")
-    return met.where(F.forall("parts", lambda part: F.col("text").contains(part))).select("source_id", "page", "tuple")  # ends at the first part that is missing
-
-
 def resolved_sources(spark: SparkSession, sf: str) -> DataFrame:
     handle = F.concat(F.lit("sh_"), F.substring("source_id", 8, 16)).alias("handle")
     asked = load(spark, sf, "companion_reference").select("reference_id", "trial_id", handle).distinct()
@@ -145,28 +145,28 @@ def import_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_passages, leaf_bindings, leaf_defects, coherent_anchors, citation_bindings, citation_defects, citation_anchors, resolved_sources, record_violations, window_violations, registry_sections, flow_headings,
+        search_passages, leaf_bindings, leaf_defects, coherent_anchors, citation_bindings, citation_defects, resolved_sources, record_violations, window_violations, registry_sections, flow_headings,
         answer_sufficiency, answer_observations, assessment_summary, scrubbed_leaves, support_mix, default_flags, import_counts,
     )
 }
 _PG = "pg as (select source_id, page, any_value(text) as text from pages group by 1, 2)"
 _CITED = "ci as (select reference_id, min(source_id) as source_id, min(citation) as citation from companion_reference where citation is not null group by 1)"
-_BOUND = f"with {_PG}, {_CITED}, lf as (select source_id, reference_id, substring(citation, 11, 40) as value from ci where substring(citation, 11, 40) <> ''), bd as (select lf.source_id, lf.reference_id, min(page) as page from lf left join pg on pg.source_id = lf.source_id and contains(pg.text, lf.value) group by 1, 2)"
+_PARTS = f"with {_PG}, {_CITED}, sp as (select source_id, reference_id, list_filter(string_split_regex(citation, '\\. |\\n'), lambda x: x <> '') as v from ci), lf as (select source_id, reference_id, generate_subscripts(v, 1) - 1 as part_no, unnest(v) as value from sp)"
+_BOUND = _PARTS + ", bd as (select lf.source_id, lf.reference_id, lf.part_no, min(page) as page from lf left join pg on pg.source_id = lf.source_id and contains(pg.text, lf.value) group by 1, 2, 3)"
 _WHOLE = f"with {_PG}, {_CITED}, bd as (select ci.source_id, ci.reference_id, min(page) as page from ci left join pg on pg.source_id = ci.source_id and contains(pg.text, ci.citation) where ci.citation <> '' group by 1, 2)"
 _LN = f"with {_PG}, ln as (select source_id, page, generate_subscripts(l, 1) as line_no, unnest(l) as line from (select source_id, page, string_split(text, chr(10)) as l from pg where text is not null))"
 ORACLE = {
-    "leaf_bindings": _BOUND + " select source_id, reference_id, page from bd",
-    "leaf_defects": _BOUND + " select source_id, reference_id from bd where page is null",
-    "coherent_anchors": f"with {_PG}, {_CITED} select ci.source_id, pg.page, reference_id as tuple from ci join pg on pg.source_id = ci.source_id where contains(text, substring(citation, 11, 20)) and contains(text, substring(citation, 41, 20))",
+    "leaf_bindings": _BOUND + " select source_id, reference_id, part_no, page from bd",
+    "leaf_defects": _BOUND + " select source_id, reference_id, part_no from bd where page is null",
+    "coherent_anchors": _PARTS + " select lf.source_id, pg.page, reference_id as tuple from lf join pg on pg.source_id = lf.source_id where text is not null group by 1, 2, 3 having bool_and(contains(text, value))",
     "citation_bindings": _WHOLE + " select source_id, reference_id, page from bd",
     "citation_defects": _WHOLE + " select source_id, reference_id from bd where page is null",
-    "citation_anchors": f"with {_PG}, {_CITED}, pt as (select source_id, reference_id, unnest(string_split_regex(citation, '\\. |\\n')) as value from ci) select pt.source_id, pg.page, reference_id as tuple from pt join pg on pg.source_id = pt.source_id where value <> '' and text is not null group by 1, 2, 3 having bool_and(contains(text, value))",
     "resolved_sources": "with k as (select trial_id, 'sh_' || substring(source_id, 8, 16) as handle, count(*) as n from (select distinct trial_id, source_id from source_index) group by 1, 2), a as (select distinct reference_id, trial_id, 'sh_' || substring(source_id, 8, 16) as handle from companion_reference) select reference_id, a.trial_id, a.handle, coalesce(n, 0) as n_matches from a left join k on k.trial_id = a.trial_id and k.handle = a.handle",
     "record_violations": "with r as (select identity, min(payload_hash) as h, min(batch_id) as b, min(trial_id) as t, min(recorded_at) as ra, min(deleted_at) as da from canonical_records group by 1) select identity, 'hash_format' as rule from r where not coalesce(regexp_matches(h, '^sha256:[0-9a-f]{64}$'), false) union all select identity, 'batch_known' from r where b is null union all select identity, 'trial_known' from r where t is null union all select identity, 'lives_forward' from r where not coalesce(da is null or da > ra, false)",
     "window_violations": "with w as (select distinct window_id, start_line as a, end_line as b, page as p from source_window) select window_id, 'starts' as rule from w where not coalesce(a >= 1, false) union all select window_id, 'ordered' from w where not coalesce(b >= a, false) union all select window_id, 'paged' from w where not coalesce(p >= 1, false)",
     "registry_sections": _LN + ", c as (select *, last_value(case when regexp_matches(line, '^\\d+\\.\\d+ \\S') then line end ignore nulls) over (partition by source_id, page order by line_no rows unbounded preceding) as section from ln) select source_id, page, section, min(line_no) as first_line, max(line_no) as last_line from c where section is not null group by 1, 2, 3",
     "flow_headings": _LN + " select source_id, page, line_no, row_number() over (partition by source_id order by page, line_no) as place from ln where regexp_matches(lower(line), 'participant flow|consort|disposition') qualify place <= 20",
-    "scrubbed_leaves": "with lv as (select distinct source_id, k as path, json_extract_string(payload, '$.' || k) as value from (select source_id, payload, unnest(json_keys(payload)) as k from source_index)) select source_id, path, value from lv where path not in ('logical_path', 'projection_hash', 'id')",
+    "scrubbed_leaves": "with lv as (select distinct source_id, '/' || k as path, json_extract_string(payload, '$.' || k) as value from (select source_id, payload, unnest(json_keys(payload)) as k from source_index)) select source_id, path, value from lv where path not in ('/logical_path', '/projection_hash', '/id')",
     "default_flags": "select user_id, " + ", ".join(f"bool_or(event_type = '{k}') as {k}" for k in ("view", "click", "purchase", "signup", "error")) + " from events group by 1",
     "import_counts": "with r as (select session_identity, rank, count(*) as n, min(phase) as phase, min(evidence_identity) as e from search_evidence_provenance group by 1, 2) select phase, cast(sum(n) as bigint) as records, count(*) as imported, cast(sum(n - 1) as bigint) as ignored, count(*) filter (where e is null) as without_evidence, count(distinct session_identity) as searches from r group by 1",
 }

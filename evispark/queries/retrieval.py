@@ -128,7 +128,7 @@ def preview_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_continuation(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "search_evidence_provenance").select(F.col("session_identity").alias("session"), "rank", "evidence_identity").dropDuplicates(["session", "rank"])
-    return R.continuations(rows.select("session", "rank"), rows.where("evidence_identity is not null and rank % 2 = 1").select("session", "rank"))
+    return R.continuations(rows.select("session", "rank"), rows.where("evidence_identity is not null and phase <> 'review'").select("session", "rank"))
 
 
 def evidence_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +206,7 @@ select query_id, source_id, page, row_number() over (partition by query_id, sour
 c as (select window_id, array_to_string(list_slice(string_split(text, chr(10)), a, b), chr(10)) as t from w join pg using (source_id, page) where a >= 1 and b >= a and text is not null)
 select window_id, md5(t) as text_hash, length(t) as n_chars from c where trim(replace(t, chr(10), ' ')) <> ''""",
     "preview_lines": _LINES + ", s as (select *, sum(octet_length(encode(line)) + 1) over (partition by source_id, page order by line_no rows unbounded preceding) as b from ln) select source_id, page, count(*) as n_lines, cast(max(b) as bigint) as n_bytes from s where b <= 512 group by 1, 2",
-    "search_continuation": "with r as (select session_identity as session, rank, any_value(evidence_identity) as e from search_evidence_provenance group by 1, 2) select session, min(rank) as next_rank from r where not (e is not null and rank % 2 = 1) group by 1",
+    "search_continuation": "with r as (select session_identity as session, rank, any_value(evidence_identity) as e, any_value(phase) as phase from search_evidence_provenance group by 1, 2) select session, min(rank) as next_rank from r where not (e is not null and coalesce(phase <> 'review', false)) group by 1",
     "source_page_read": f"with {_PAGES} select source_id, page, length(text) as n_chars from pg where (source_id, page) in (select source_id, page from companion_reference)",
     "projection_hashes": f"with {_PAGES} select source_id, 'sha256:' || sha256(string_agg(sha256(coalesce(text, '')), '|' order by page)) as projection_hash from pg group by 1",
     "main_report_prefix": f"with {_PAGES}, s as (select source_id, page, coalesce(octet_length(encode(text)), 0) as n_bytes from pg where source_id is not null) select source_id, page, n_bytes, running from (select *, cast(sum(n_bytes) over (partition by source_id order by page rows unbounded preceding) as bigint) as running from s) where running <= 20000",

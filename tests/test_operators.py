@@ -71,6 +71,37 @@ def test_intervals_equal_sets_of_numbers(spark):
     assert [tuple(x) for x in intervals.merged(frame(spark, [(1, 1, 3), (1, 4, 5), (1, 2, 2), (1, 8, 7), (1, 9, 9)], "k int, first int, last int"), ["k"]).orderBy("first").collect()] == [(1, 1, 5, 3), (1, 9, 9, 1)]
 
 
+def test_chains_of_any_length_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(70)] + [(100, 102), (101, 100), (102, 101), (103, 100), (200, 999), (201, 200), (None, 1), (5, 4)]
+    got = {r.k: (r.root, r.depth, r.state) for r in lineage.chains(frame(spark, rows, "k int, parent int"), "k", "parent").collect()}
+    expected = {i: (0, i, "rooted") for i in range(70)} | {i: (None, None, "cycle") for i in (100, 101, 102, 103)} | {200: (200, 0, "orphan"), 201: (200, 1, "orphan")}
+    assert got == expected
+    assert lineage.depths(frame(spark, rows, "k int, parent int"), "k", "parent").count() == 70
+    assert lineage.chains(frame(spark, [], "k int, parent int"), "k", "parent").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from evispark.plans import lineage as plans
+
+    class Context:
+        master = "spark://host:7077"
+
+        def __getattr__(self, _):
+            return lambda *a: self
+
+        def isDefined(self):  # noqa: N802
+            return False
+
+        _jsc = property(lambda self: self)
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(RuntimeError):
+        plans.shared_folder(Session())
+
+
 def test_packing_and_prefix(spark):
     items = frame(spark, [("a", i, w) for i, w in enumerate([5, 4, 3, 20, 1, None])] + [("b", 0, 9)], "k string, i int, w int")
     packed = {(r.k, r.i): r.sheet for r in intervals.packed(items, ["k"], ["i"], "w", 10).collect()}
@@ -140,7 +171,7 @@ def test_sets_and_leaves(spark):
     assert {tuple(r) for r in sets.set_difference(a, b).collect()} == {(1, "missing"), (None, "missing"), (3, "extra")}
     assert {tuple(r) for r in sets.multiset_difference(a, b, ["x"]).collect()} == {(1, 2), (None, 1), (3, -1)}
     rows = frame(spark, [("r", '{"a": {"b": [1, {"c": "x"}]}, "form": {"d": 2}, "e": null}'), ("bad", "{")], "id string, body string")
-    assert {tuple(r) for r in projections.leaf_table(rows, "id", "body", ("form",)).collect()} == {("r", "a/b/0", "1"), ("r", "a/b/1/c", "x"), ("r", "e", None)}
+    assert {tuple(r) for r in projections.leaf_table(rows, "id", "body", ("form",)).collect()} == {("r", "/a/b/0", "1"), ("r", "/a/b/1/c", "x"), ("r", "/e", None)}
 
 
 def test_streamed_counts(spark, tmp_path):
