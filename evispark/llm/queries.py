@@ -19,7 +19,7 @@ def _span_records(spark: SparkSession, sf: str) -> DataFrame:
     pages = load(spark, sf, "pages").select(F.lit("pages").alias("record_table"), "source_id", F.col("page").cast("long").alias("record_no"), "text")
     cited = load(spark, sf, "companion_reference").select(F.lit("companion_reference").alias("record_table"), F.lit("").alias("source_id"), F.col("reference_id").alias("record_no"), F.col("citation").alias("text"))
     both = pages.unionByName(cited).where(F.char_length("text") >= spans.SPAN)
-    return both.withColumn("rec", F.xxhash64("record_table", "source_id", "record_no"))
+    return both.withColumn("rec", F.unhex(F.md5(F.to_json(F.struct("record_table", "source_id", "record_no")))))  # 128 bits of the key
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +36,18 @@ def p1_shared(spark: SparkSession, sf: str) -> DataFrame:
     return records.join(spans.shared_characters(_spans(spark, sf)), "rec").drop("rec")
 
 
+def p1_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages that two records share with edits: chains of several exact stretches, one row each."""
+    records = _span_records(spark, sf).select("rec", "record_table", "source_id", "record_no").distinct()
+    found = spans.passages(spans.shared_matches(_span_records(spark, sf).select("rec", "text"))).groupBy("rec_a", "rec_b", "passage").agg(
+        F.count("*").alias("n_stretches"), F.sum(F.col("end_a") - F.col("start_a")).alias("n_exact"), F.bool_or("star").alias("star"),
+        *[g(c).alias(c) for c, g in (("start_a", F.min), ("end_a", F.max), ("start_b", F.min), ("end_b", F.max))],
+    ).where("n_stretches > 1")
+    for side in "ab":
+        found = found.join(records.select(*[F.col(c).alias(f"{c}_{side}") for c in ("rec", "record_table", "source_id", "record_no")]), f"rec_{side}")
+    return found.drop("rec_a", "rec_b", "passage")
+
+
 def p5_items(spark: SparkSession, sf: str) -> DataFrame:
     """(item_kind, source_id, page, window_id, text) of the pages and windows that can exceed the limit.
 
@@ -102,7 +114,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("review").alias("n_review"), F.avg(F.col("review").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shared, p5_found, p5_pieces, p6_found, p6_texts, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_shared, p1_passages, p5_found, p5_pieces, p6_found, p6_texts, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
 _SPANS = """
 with r as (select 'pages' as record_table, source_id, cast(page as bigint) as record_no, any_value(text) as x from pages where length(text) >= 200 group by source_id, page
            union all select 'companion_reference', '', reference_id, any_value(citation) from companion_reference where length(citation) >= 200 group by reference_id),

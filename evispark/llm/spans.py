@@ -159,7 +159,7 @@ def surroundings(records: DataFrame, occurrences: DataFrame, span: int, k: int)
     """
     around = span - k
     kind = records.schema["rec"].dataType.simpleString()
-    places = occurrences.groupBy("rec").agg(F.collect_list(F.struct("seed", "place", "hot")).alias("at"))
+    places = occurrences.groupBy("rec").agg(F.collect_set(F.struct("seed", "place", "hot")).alias("at"))
     names = ["rec", "seed", "place", "hot", "left", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,85 +176,97 @@ def surroundings(records: DataFrame, occurrences: DataFrame, span: int, k: int)
                 texts = [whole[o][a - b : a + k + around] for o, a, b in zip(owners.tolist(), starts.tolist(), left.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), seed, place, hot, pa.array(left, pa.int32()), pa.array(texts, pa.string())], names)
 
-    joined = records.select("rec", "text").join(places, "rec")
+    # a record that was delivered twice is read once; the join has brought its rows together
+    joined = records.select("rec", "text").join(places, "rec").dropDuplicates(["rec"]).select("rec", "text", "at")
     return joined.mapInArrow(run, f"rec {kind}, seed long, place int, hot boolean, left int, text string")
 
 
 def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int = DIRECT) -> DataFrame:
-    """(rec_a, rec_b, place_a, place_b, before, after): matches of seeds of two records.
+    """(rec_a, rec_b, place_a, place_b, before, after, star): matches of seeds of two records.
 
     ``before`` and ``after`` are the characters by which the match extends on
-    each side, at most span - k.  rec_a < rec_b.  Records without a key are none.
+    each side, at most span - k.  rec_a < rec_b.  Records without a key are none;
+    a key that comes twice counts once.  A seed in more than ``direct`` records
+    is not paired in full: there each record meets the first and the last record
+    of each of its windows, and ``star`` is true, so that records with one
+    window are those that share a partner in it.
+
+    Seeds are staged as numbers.  Their counts combine before the shuffle, so a
+    seed that stands in a third of all records is one row per task there, and
+    the joins on it are plain ones, which adaptive execution splits.
     """
-    # one exchange serves the counts and the occurrences; nulls leave first, so that both branches push down the same filter
-    light = seeds(records, span, k).where("rec is not null and seed is not null").repartition("seed")
-    # the key's other name keeps the join from copying the plan of the seeds, so that the exchange is reused
-    shared = light.groupBy(F.col("seed").alias("shared_seed")).agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n"), F.count("*").alias("places"), F.max("place").alias("last")).where("low < high and last >= 0")  # as wide as the other branch, so that one exchange serves both
-    occurrences = light.join(shared.select("shared_seed", ((F.col("n") > direct) | (F.col("places") > 4 * direct)).alias("hot")), F.col("seed") == F.col("shared_seed")).drop("shared_seed")
+    light = staged(seeds(records, span, k).where("rec is not null and seed is not null"))
+    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n"), F.count("*").alias("places")).where("low < high")
+    occurrences = light.join(shared.select("seed", ((F.col("n") > direct) | (F.col("places") > 4 * direct)).alias("hot")), "seed")
     met = staged(surroundings(records, occurrences, span, k))
 
     few = met.where("not hot").select("seed", "rec", "place", "left", "text")
     a = few.select("seed", *[F.col(c).alias(f"{c}_a") for c in ("rec", "place", "left", "text")])
     b = few.select("seed", *[F.col(c).alias(f"{c}_b") for c in ("rec", "place", "left", "text")])
     pairs = a.join(b, "seed").where("rec_a < rec_b").drop("seed")
-    return _extended(pairs.unionByName(_hot_pairs(met.where("hot").drop("hot"), span)), k)
+    direct_matches = _extended(pairs, ["rec_a", "rec_b", "place_a", "place_b"], k).withColumn("star", F.lit(False))
+    return direct_matches.unionByName(_star_matches(met.where("hot").drop("hot"), span, k))
 
 
-def _hot_pairs(hot: DataFrame, span: int) -> DataFrame:
-    """Pairs of occurrences of hot seeds, at most two partners per occurrence and window of ``span``.
+def _star_matches(hot: DataFrame, span: int, k: int) -> DataFrame:
+    """Matches of occurrences of hot seeds, at most two partners per occurrence and window of ``span``.
 
-    Occurrences with one surrounding text are a class; inside a passage that
-    was copied often they are all one class.  A class in several records links
-    each of them to its first (the first to its last).  Between classes, every
-    window of ``span`` characters around the seed links each class to the first
-    and the last record that has the window.  Records that share a span share a
-    window, so each of them gets a partner with that whole span.
+    Occurrences with one surrounding text are a class, known by 128 bits of it;
+    inside a passage that was copied often they are all one class.  A class in
+    several records links each of them to its first (the first to its last).
+    Between classes, every window of ``span`` characters around the seed links
+    each class to the first and the last record that has the window.  Records
+    that share a span share a window, so each of them gets a partner with that
+    whole span.  Texts are compared once per pair of classes; the members of a
+    class meet the result as numbers.
     """
-    hot = hot.withColumn("around", F.xxhash64("text"))
+    hot = hot.withColumn("around", F.unhex(F.md5("text")))
     of = ["seed", "left", "around"]
     place = F.struct("rec", "place", "left", "around")
     classes = hot.groupBy(*of).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("text").alias("text"))
     inside = classes.where("low.rec < high.rec").select(*of, "low", "high")
     windows = classes.where(F.char_length("text") >= span).select(*of, "low", "high", F.explode(F.transform(
         F.sequence(F.lit(0), F.char_length("text") - span),
-        lambda at: F.struct((F.col("left") - at).alias("shift"), F.xxhash64(F.substring("text", at + 1, F.lit(span))).alias("window")),
+        lambda at: F.struct((F.col("left") - at).alias("shift"), F.unhex(F.md5(F.substring("text", at + 1, F.lit(span)))).alias("window")),
     )).alias("w")).select(*of, "low", "high", "w.*")
     met = ["seed", "shift", "window"]
     ends = windows.groupBy(*met).agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count("*").alias("n")).where("n > 1 and first.rec < last.rec")
     between = windows.select(*of, *met[1:]).join(ends, met).select(*of, F.col("first").alias("low"), F.col("last").alias("high")).distinct()
-    members = hot.select(*of, "rec", "place").join(inside.unionByName(between).distinct(), of)
-    other = F.when(F.col("rec") == F.col("low.rec"), F.col("high")).otherwise(F.col("low"))
-    links = members.select(*of, "rec", "place", other.alias("o")).select(*of, "rec", "place", F.col("o.rec").alias("rec_o"), F.col("o.place").alias("place_o"), F.col("o.left").alias("left_o"), F.col("o.around").alias("around_o")).distinct()
+    partners = inside.unionByName(between).distinct()
+    # every class is compared with the classes of its partners, once
+    to = partners.select(*of, F.explode(F.array("low", "high")).alias("o")).select(*of, F.col("o.left").alias("left_o"), F.col("o.around").alias("around_o")).distinct()
     text = classes.select(*of, "text")
-    links = links.join(text, of).join(text.select("seed", F.col("left").alias("left_o"), F.col("around").alias("around_o"), F.col("text").alias("text_o")), ["seed", "left_o", "around_o"])
+    others = text.select("seed", F.col("left").alias("left_o"), F.col("around").alias("around_o"), F.col("text").alias("text_o"))
+    both = to.join(text, of).join(others, ["seed", "left_o", "around_o"])
+    reach = _extended(both.select("seed", "left", "around", "left_o", "around_o", F.col("text").alias("text_a"), F.col("text_o").alias("text_b"), F.col("left").alias("left_a"), F.col("left_o").alias("left_b")), [*of, "left_o", "around_o"], k)
+    # a record meets the first one of a window, the first one itself the last
+    stars = partners.select(*of, F.col("low.rec").alias("rec_low"), F.posexplode(F.array("low", "high")).alias("is_high", "o")).select(*of, "rec_low", "is_high", F.col("o.rec").alias("rec_o"), F.col("o.place").alias("place_o"), F.col("o.left").alias("left_o"), F.col("o.around").alias("around_o"))
+    stars = stars.join(reach, [*of, "left_o", "around_o"]).select(*of, "rec_low", "is_high", "rec_o", "place_o", "before", "after")
+    links = hot.select(*of, "rec", "place").join(stars, of).where(F.col("is_high") == (F.col("rec") == F.col("rec_low")).cast("int"))
     first = F.col("rec") < F.col("rec_o")
-    return links.select(*[
-        F.when(first if side == "a" else ~first, F.col(c)).otherwise(F.col(f"{c}_o")).alias(f"{c}_{side}") for side in "ab" for c in ("rec", "place", "left", "text")
-    ])
+    sides = [F.when(first if side == "a" else ~first, F.col(c)).otherwise(F.col(f"{c}_o")).alias(f"{c}_{side}") for c in ("rec", "place") for side in "ab"]
+    return links.select(*sides, "before", "after", F.lit(True).alias("star")).distinct()
 
 
-def _extended(pairs: DataFrame, k: int) -> DataFrame:
-    """Extend each match letter by letter; matches whose k-mers differ (equal hashes) leave."""
-    kind = pairs.schema["rec_a"].dataType.simpleString()
+def _extended(pairs: DataFrame, keep: list[str], k: int) -> DataFrame:
+    """``keep``, before, after: each pair of texts extended letter by letter; pairs whose k-mers differ (equal hashes) leave."""
+    fields = "".join(f"{c} {pairs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             left_a, left_b = column["left_a"].to_pylist(), column["left_b"].to_pylist()
-            keep, before, after = [], [], []
+            same, before, after = [], [], []
             for i, (x, y, la, lb) in enumerate(zip(column["text_a"].to_pylist(), column["text_b"].to_pylist(), left_a, left_b)):
                 if x[la : la + k] != y[lb : lb + k]:
                     continue
-                keep.append(i)
+                same.append(i)
                 before.append(_common(x[:la][::-1], y[:lb][::-1]))
                 after.append(_common(x[la + k :], y[lb + k :]))
-            taken = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [column[c].take(taken) for c in ("rec_a", "rec_b", "place_a", "place_b")] + [pa.array(before, pa.int32()), pa.array(after, pa.int32())],
-                ["rec_a", "rec_b", "place_a", "place_b", "before", "after"],
-            )
+            taken = pa.array(same, pa.int64())
+            yield pa.RecordBatch.from_arrays([column[c].take(taken) for c in keep] + [pa.array(before, pa.int32()), pa.array(after, pa.int32())], [*keep, "before", "after"])
 
-    return pairs.mapInArrow(run, f"rec_a {kind}, rec_b {kind}, place_a int, place_b int, before int, after int")
+    return pairs.mapInArrow(run, f"{fields}before int, after int")
 
 
 def _common(x: str, y: str) -> int:
@@ -309,16 +321,17 @@ def chain(matches: list[tuple[int, int, int, int]], k: int, gap: float = GAP_COS
 
 
 def passages(matches: DataFrame, k: int = K, gap: float = GAP_COST) -> DataFrame:
-    """(rec_a, rec_b, passage, start_a, end_a, start_b, end_b): the exact stretches of each chain.
+    """(rec_a, rec_b, passage, start_a, end_a, start_b, end_b, star): the exact stretches of each chain.
 
     Matches are sorted by record pair within partitions and streamed, so a pair
     with many matches is held alone, and pairs cost no group overhead.  A chain
     gives one row per exact stretch, the matches of one diagonal whose
     extensions meet; several stretches under one passage number are a fuzzy
-    passage.
+    passage.  ``star`` says that the pair comes from a seed in many records, of
+    which each meets some only (see ``shared_matches``).
     """
     kind = matches.schema["rec_a"].dataType.simpleString()
-    names = ["rec_a", "rec_b", "passage", "start_a", "end_a", "start_b", "end_b"]
+    names = ["rec_a", "rec_b", "passage", "start_a", "end_a", "start_b", "end_b", "star"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -340,17 +353,18 @@ def passages(matches: DataFrame, k: int = K, gap: float = GAP_COST) -> DataFrame
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out))
-        types = [schema_type, schema_type, *[pa.int32()] * 5]
+        types = [schema_type, schema_type, *[pa.int32()] * 5, pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    schema_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    ordered = matches.repartition("rec_a", "rec_b").sortWithinPartitions("rec_a", "rec_b", "place_a", "place_b")
-    return ordered.mapInArrow(run, f"rec_a {kind}, rec_b {kind}, passage int, start_a int, end_a int, start_b int, end_b int")
+    schema_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[kind]
+    ordered = matches.select("rec_a", "rec_b", "place_a", "place_b", "before", "after", "star").repartition("rec_a", "rec_b").sortWithinPartitions("rec_a", "rec_b", "place_a", "place_b")
+    return ordered.mapInArrow(run, f"rec_a {kind}, rec_b {kind}, passage int, start_a int, end_a int, start_b int, end_b int, star boolean")
 
 
-def _stretches(pair: tuple, matches: list[tuple[int, int, int, int]], k: int, gap: float) -> list[tuple]:
+def _stretches(pair: tuple, found: list[tuple[int, int, int, int, bool]], k: int, gap: float) -> list[tuple]:
     """The exact stretches of a pair's chains."""
-    matches = list(dict.fromkeys(matches))
+    star = any(m[4] for m in found)
+    matches = list(dict.fromkeys(m[:4] for m in found))
     numbers = chain(matches, k, gap)
     lines: dict[tuple[int, int], list[list[int]]] = {}
     for number, (a, b, before, after) in zip(numbers, matches):
@@ -360,13 +374,13 @@ def _stretches(pair: tuple, matches: list[tuple[int, int, int, int]], k: int, ga
             found[-1][1] = max(found[-1][1], end)
         else:
             found.append([start, end])
-    return [(*pair, n, s, e, s + d, e + d) for (n, d), found in lines.items() for s, e in found]
+    return [(*pair, n, s, e, s + d, e + d, star) for (n, d), found in lines.items() for s, e in found]
 
 
 def exact_spans(records: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """(rec, start, end): per record, where it shares at least ``span`` characters with another record.
 
-    One row per stretch and partner; ``records`` has (rec, text), one row per record.
+    One row per stretch and partner; ``records`` has (rec, text), rows of a record that repeat count once.
     """
     found = passages(shared_matches(records, span, k), k).where(F.col("end_a") - F.col("start_a") >= span)
     both = F.array(

@@ -81,7 +81,7 @@ def test_chains_join_ordered_matches_over_gaps():
     assert spans.chain(ordered, 100, 0.05) == [0, 0, 1]
     crossed = [(0, 300, 0, 0), (300, 0, 0, 0)]
     assert spans.chain(crossed, 100, 0.05) == [0, 1]
-    two = spans._stretches((1, 2), [(0, 0, 0, 10), (105, 112, 0, 10)], 100, 0.05)
+    two = spans._stretches((1, 2), [(0, 0, 0, 10, False), (105, 112, 0, 10, False)], 100, 0.05)
     assert {t[2] for t in two} == {0} and len(two) == 2  # one fuzzy passage of two exact stretches
 
 
@@ -101,3 +101,37 @@ def test_code_points_round_trip():
     assert encode(points, offsets).to_pylist() == ["", "", "aé漢😀", "x" * 50, "ö"]
     parts = list(chunks(texts, 8))
     assert sum(map(len, parts)) == 5 and pa.concat_arrays([p.cast(pa.string()) for p in parts]).to_pylist() == texts.to_pylist()
+
+
+@pytest.mark.parametrize("apart", [150, 250, 400])
+def test_edited_passages_are_chained(spark, apart):
+    """Passages of 1,600 characters with one edit in every ``apart`` characters: one fuzzy passage over all of it."""
+    rng = random.Random(apart)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    rows, planted = [], 0
+    for i in range(40):
+        passage = word(1_600)
+        edited = list(passage)
+        for at in range(rng.randint(20, apart), 1_600, apart):
+            edited[at : at + 1] = rng.choice(["", "Z", "ZZZ"])
+        rows += [(2 * i, word(300) + passage + word(200)), (2 * i + 1, word(100) + "".join(edited))]
+        planted += 1
+    rows += [(1_000 + i, word(2_000)) for i in range(20)]
+    found = spans.passages(spans.shared_matches(spark.createDataFrame(rows, "rec long, text string")))
+    per = {}
+    for r in found.collect():
+        assert r.rec_a // 2 == r.rec_b // 2 and not r.star
+        per.setdefault((r.rec_a, r.passage), []).append((r.start_a, r.end_a))
+    whole = sum(len(s) > 1 and max(b for _, b in s) - min(a for a, _ in s) >= 1_600 - 2 * apart for s in per.values())
+    assert whole >= {150: 0.0, 250: 0.9, 400: 0.9}[apart] * planted
+
+
+def test_a_passage_in_half_of_all_records(spark):
+    """Hot seeds: every record is found, with as many links as records, and no more."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    hot = word(260)
+    rows = [(i, word(rng.randint(0, 150)) + (hot if i % 2 else word(260)) + word(rng.randint(0, 150))) for i in range(400)]
+    matches = spans.shared_matches(spark.createDataFrame(rows, "rec long, text string")).collect()
+    assert {r for m in matches for r in (m.rec_a, m.rec_b)} == {i for i in range(400) if i % 2} and any(m.star for m in matches)
+    assert len({(m.rec_a, m.rec_b) for m in matches}) <= 3 * 200
