@@ -9,16 +9,22 @@ from evispark.plans import broadcast_if_small
 
 
 #: most stated values whose anchors are broadcast
-ANCHORS = 1_000_000
+ANCHORS = 200_000
 
 
 def _words(text) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def _runs(words, n: int) -> Column:
-    """A hash of each run of ``n`` words."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+def _hashes(text) -> Column:
+    """A hash of each word."""
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def _runs(hashes) -> Column:
+    """A hash of each run of three word hashes."""
+    at = F.sequence(F.lit(0), F.size(hashes) - 3)
+    return F.when(F.size(hashes) >= 3, F.transform(at, lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def candidates(values: DataFrame, evidence: DataFrame, keys: list[str], value: list[str], item: list[str]) -> DataFrame:
@@ -31,13 +37,14 @@ def candidates(values: DataFrame, evidence: DataFrame, keys: list[str], value: l
     three or four words meets those that hold the longest word between.  Only a
     value of one or two words meets all items of its key.
     """
-    inner = F.slice(_words(F.col("text")), 2, F.greatest(F.size(_words(F.col("text"))) - 2, F.lit(0)))
-    longest = lambda n: F.array_max(F.transform(F.sequence(F.lit(0), F.size("inner") - n), lambda i: F.struct(F.char_length(F.array_join(F.slice("inner", i + 1, n), " ")).alias("n"), F.xxhash64(F.array_join(F.slice("inner", i + 1, n), " ")).alias("h"))))["h"]
-    stated = values.where(F.col("text") != "").withColumn("inner", inner).select(
-        *keys, *value, F.when(F.size("inner") >= 3, longest(3)).when(F.size("inner") >= 1, longest(1)).alias("anchor")
-    )
     words = _words(F.col("text"))
-    held = evidence.where(F.col("text").isNotNull()).select(*keys, *item, words.alias("words")).select(*keys, *item, F.explode(F.array_distinct(F.concat(_runs(F.col("words"), 1), _runs(F.col("words"), 3)))).alias("anchor"))
+    stated = values.where(F.col("text") != "").withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    stated = stated.withColumns({"hashes": F.transform("inner", lambda w: F.xxhash64(w)), "sizes": F.transform("inner", F.char_length)})
+    length = lambda i: F.get("sizes", i) + F.get("sizes", i + 1) + F.get("sizes", i + 2)
+    run = F.array_max(F.zip_with(F.transform(F.sequence(F.lit(0), F.size("inner") - 3), length), _runs(F.col("hashes")), lambda n, h: F.struct(n.alias("n"), h.alias("h"))))["h"]
+    word = F.array_max(F.zip_with("sizes", "hashes", lambda n, h: F.struct(n.alias("n"), h.alias("h"))))["h"]
+    stated = stated.select(*keys, *value, F.when(F.size("inner") >= 3, run).when(F.size("inner") >= 1, word).alias("anchor"))
+    held = evidence.where(F.col("text").isNotNull()).select(*keys, *item, _hashes(F.col("text")).alias("hashes")).select(*keys, *item, F.explode(F.array_distinct(F.concat("hashes", _runs(F.col("hashes"))))).alias("anchor"))
     anchored = broadcast_if_small(stated.where("anchor is not null"), ANCHORS)
     met = held.join(anchored, [*keys, "anchor"]).select(*keys, *value, *item)
     rest = evidence.select(*keys, *item).join(stated.where("anchor is null").select(*keys, *value), keys).select(*keys, *value, *item)

@@ -44,8 +44,9 @@ def leaf_defects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coherent_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages that hold every sentence of a citation, in whatever order."""
-    return binding.coherent(_pages(spark, sf), _sentences(spark, sf).withColumnRenamed("reference_id", "tuple"), ["source_id"], ["page"])
+    """For each citation the first page that holds all its sentences, in whatever order, and how many pages do."""
+    held = binding.coherent(_pages(spark, sf), _sentences(spark, sf).withColumnRenamed("reference_id", "tuple"), ["source_id"], ["page"])
+    return held.groupBy("source_id", F.col("tuple").alias("reference_id")).agg(F.min("page").alias("page"), F.count("*").alias("n_pages"))
 
 
 def citation_bindings(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +159,7 @@ _LN = f"with {_PG}, ln as (select source_id, page, generate_subscripts(l, 1) as
 ORACLE = {
     "leaf_bindings": _BOUND + " select source_id, reference_id, part_no, page from bd",
     "leaf_defects": _BOUND + " select source_id, reference_id, part_no from bd where page is null",
-    "coherent_anchors": _PARTS + " select lf.source_id, pg.page, reference_id as tuple from lf join pg on pg.source_id = lf.source_id where text is not null group by 1, 2, 3 having bool_and(contains(text, value))",
+    "coherent_anchors": _PARTS + ", co as (select lf.source_id, pg.page, reference_id from lf join pg on pg.source_id = lf.source_id where text is not null group by 1, 2, 3 having bool_and(contains(text, value))) select source_id, reference_id, min(page) as page, count(*) as n_pages from co group by 1, 2",
     "citation_bindings": _WHOLE + " select source_id, reference_id, page from bd",
     "citation_defects": _WHOLE + " select source_id, reference_id from bd where page is null",
     "resolved_sources": "with k as (select trial_id, 'sh_' || substring(source_id, 8, 16) as handle, count(*) as n from (select distinct trial_id, source_id from source_index) group by 1, 2), a as (select distinct reference_id, trial_id, 'sh_' || substring(source_id, 8, 16) as handle from companion_reference) select reference_id, a.trial_id, a.handle, coalesce(n, 0) as n_matches from a left join k on k.trial_id = a.trial_id and k.handle = a.handle",

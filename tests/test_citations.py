@@ -27,7 +27,7 @@ def test_bindings_compare_whole_citations(spark, tmp_path):
     bound = {r.reference_id: r.page for r in evidence.citation_bindings(spark, sf).collect()}
     assert bound == {1: 1, 2: None, 3: 1, 5: 1, 6: 1}
     assert {r.reference_id for r in evidence.citation_defects(spark, sf).collect()} == {2}
-    assert {(r.tuple, r.page) for r in evidence.coherent_anchors(spark, sf).collect()} == {(1, 1), (3, 1), (5, 1), (6, 1)}
+    assert {(r.reference_id, r.page) for r in evidence.coherent_anchors(spark, sf).collect()} == {(1, 1), (3, 1), (5, 1), (6, 1)}
 
 
 def test_bindings_equal_all_pairs(spark):
