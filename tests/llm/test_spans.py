@@ -134,4 +134,5 @@ def test_a_passage_in_half_of_all_records(spark):
     rows = [(i, word(rng.randint(0, 150)) + (hot if i % 2 else word(260)) + word(rng.randint(0, 150))) for i in range(400)]
     matches = spans.shared_matches(spark.createDataFrame(rows, "rec long, text string")).collect()
     assert {r for m in matches for r in (m.rec_a, m.rec_b)} == {i for i in range(400) if i % 2} and any(m.star for m in matches)
-    assert len({(m.rec_a, m.rec_b) for m in matches}) <= 3 * 200
+    pairs = {(m.rec_a, m.rec_b) for m in matches}
+    assert len(pairs) <= 5 * 200, len(pairs)  # all pairs would be 19,900
