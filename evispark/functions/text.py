@@ -132,8 +132,14 @@ def searchable(text: str, join_words: bool = True) -> Searchable:
     return Searchable(text, join_words)
 
 
+_PLAIN_FORM = re.compile(r"[\t\n\r\x20-\x7e]*")
+_HYPHEN_BREAK = re.compile(r"-\s*[\r\n]")
+
+
 def search_text(text: str) -> str:
     """The searchable form with single blanks and none at the ends."""
+    if _PLAIN_FORM.fullmatch(text) and not _HYPHEN_BREAK.search(text):  # nothing to fold but case and blanks
+        return " ".join(text.lower().split())
     return " ".join(Searchable(text).text.split())
 
 
@@ -256,7 +262,7 @@ def _replace(word: str, rules: dict[str, str]) -> str:
 @functools.lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """The Porter stem of a lower-case word."""
-    if len(word) < 3 or not word.isascii():
+    if not 3 <= len(word) < 64 or not word.isascii():
         return word
     if word.endswith("sses") or word.endswith("ies"):
         word = word[:-2]
@@ -293,6 +299,31 @@ def stemmed_tokens(text: str) -> list[str]:
     return [stem(t) for t in search_tokens(text)]
 
 
+def search_terms(text: str) -> list[str]:
+    """Both search columns of a page as one list: the text's stemmed words, an empty term, and those of its searchable form where that differs."""
+    form = search_text(text)
+    return [*stemmed_tokens(text), "", *(stemmed_tokens(form) if form != text else [])]
+
+
+def query_phrases(query: str) -> list[list[str]]:
+    """The terms of a query, each as the words that a tokenizer makes of it; terms without any leave."""
+    return [words for words in map(search_tokens, query_text(query).split()) if words]
+
+
+def stemmed_phrases(query: str) -> list[list[str]]:
+    return [[stem(w) for w in words] for words in query_phrases(query)]
+
+
+def literal_anchor(query: str) -> str | None:
+    """The longest word of a literal query; null for one without words."""
+    return max(search_tokens(search_text(query)), key=lambda w: (len(w), w), default=None)
+
+
+def literal_words(text: str) -> list[str]:
+    """The distinct words of a text's searchable form."""
+    return sorted(set(search_tokens(search_text(text))))
+
+
 def prefix_end(text: str, start: int, end: int, most_bytes: int) -> int:
     """The end of the longest part from ``start`` whose UTF-8 form has at most ``most_bytes`` bytes."""
     return start + len(text[start:end].encode("utf-8")[:most_bytes].decode("utf-8", "ignore"))
@@ -317,6 +348,12 @@ _COLUMNS: dict[str, tuple[str, Callable, pa.DataType]] = {
     "search_text": ("string", search_text, pa.string()),
     "query_text": ("string", query_text, pa.string()),
     "stemmed_tokens": ("array<string>", stemmed_tokens, pa.list_(pa.string())),
+    "search_terms": ("array<string>", search_terms, pa.list_(pa.string())),
+    "query_phrases": ("array<array<string>>", query_phrases, pa.list_(pa.list_(pa.string()))),
+    "stemmed_phrases": ("array<array<string>>", stemmed_phrases, pa.list_(pa.list_(pa.string()))),
+    "plain_tokens": ("array<string>", search_tokens, pa.list_(pa.string())),
+    "literal_anchor": ("string", literal_anchor, pa.string()),
+    "literal_words": ("array<string>", literal_words, pa.list_(pa.string())),
     "literal_spans": ("array<struct<start:int,end:int>>", lambda t, q: [{"start": a, "end": b} for a, b in literal_spans(t, q)], _SPAN),
     "contains_wording": ("boolean", contains_wording, pa.bool_()),
     "contains_number": ("boolean", contains_number, pa.bool_()),

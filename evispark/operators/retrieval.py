@@ -1,10 +1,12 @@
 """Ranked lexical retrieval over pages.
 
-Pages are tokenised once into postings (page, term, tf) with page lengths.
-Queries are a stated, bounded set, broadcast after a count, so that postings
-never shuffle by term; scores are summed map-side per query and page first.
-Document frequency, corpus size and mean length are those of the scope that is
-searched.
+A page is indexed in two columns, its text and its searchable form where that
+differs, as Porter stems of words without accents.  The index is staged once;
+documents' counts and lengths and all queries of a batch read it.  A query's
+terms are phrases of one or more words.  Queries are a stated, bounded set,
+broadcast after a count, so that the index never shuffles by term; only hits
+leave the map side.  Phrase frequency, number of pages and mean length are those
+of the pages that are searched.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as T
-from evispark.plans import broadcast_if_small
+from evispark.plans import broadcast_if_small, staged
 
 #: Robertson and Zaragoza's usual constants
 K1, B = 1.2, 0.75
 #: most query terms that are broadcast
 QUERY_TERMS = 100_000
+#: most sources whose reading order is broadcast
+SOURCES = 200_000
 #: Feedback terms and sources, suggestions per term and in all, result limit.
 FEEDBACK_TERMS, FEEDBACK_SOURCES, PER_TERM, SUGGESTIONS, LIMIT = 16, 64, 3, 8, 100
 PAGE = ["source_id", "page"]
@@ -29,86 +33,120 @@ def plain_terms(column):
     return F.regexp_extract_all(F.lower(column), F.lit("([a-z0-9]+)"), 1)
 
 
-def tokens(pages: DataFrame, stemmed: bool = False, keys: list[str] = PAGE) -> DataFrame:
-    """(keys, pos, term) of every token; stemmed ones come from an Arrow UDF."""
-    terms = T.column("stemmed_tokens")(F.col("text")) if stemmed else plain_terms(F.col("text"))
-    return pages.select(*keys, F.posexplode(terms).alias("pos", "term"))
-
-
-def index(pages: DataFrame, stemmed: bool = False, keys: list[str] = PAGE) -> DataFrame:
-    """(keys, length, term, tf): the postings, with each page's length."""
-    terms = T.column("stemmed_tokens")(F.col("text")) if stemmed else plain_terms(F.col("text"))
-    held = pages.select(*keys, terms.alias("terms")).withColumn("length", F.size("terms"))
-    return held.select(*keys, "length", F.explode("terms").alias("term")).groupBy(*keys, "length", "term").agg(F.count("*").alias("tf"))
+def index(pages: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(source_id, page, terms, length): each page's terms in order and their number, staged.
 
+    Unstemmed, the text's own words make the only column.  Pages without a text
+    are not indexed.
+    """
+    terms = T.column("search_terms")(F.col("text")) if stemmed else T.column("plain_tokens")(F.col("text"))
+    held = pages.where(F.col("text").isNotNull()).select(*PAGE, terms.alias("terms"))
+    return staged(held.withColumn("length", F.size(F.filter("terms", lambda t: t != "")).cast("long")))
 
-def corpus(pages: DataFrame, stemmed: bool = False) -> DataFrame:
-    """One row (n_pages, mean_length) of the pages with text."""
-    terms = T.column("stemmed_tokens")(F.col("text")) if stemmed else plain_terms(F.col("text"))
-    return pages.where(F.col("text").isNotNull()).select(F.size(terms).alias("length")).agg(F.count("*").alias("n_pages"), F.avg("length").alias("mean_length"))
 
+def query_phrases(queries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(query_id, mode, n_phrases, phrase, n_words, at, term): the words of each query's phrases.
 
-def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(query_id, mode, n_terms, term): the distinct terms of each query."""
-    terms = F.array_distinct(T.column("stemmed_tokens")(F.col("query")) if stemmed else plain_terms(F.col("query")))
-    return queries.select("query_id", "mode", terms.alias("terms")).select("query_id", "mode", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    In mode 'phrase' all words of the query are one phrase.
+    """
+    parts = T.column("stemmed_phrases" if stemmed else "query_phrases")(F.col("query"))
+    phrases = F.when((F.col("mode") == "phrase") & (F.size(parts) > 0), F.array(F.flatten(parts))).otherwise(parts)
+    each = queries.select("query_id", "mode", phrases.alias("phrases")).select("query_id", "mode", F.size("phrases").alias("n_phrases"), F.posexplode("phrases").alias("phrase", "words"))
+    return each.select("query_id", "mode", "n_phrases", "phrase", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "term"))
 
 
-def scores(pages: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(query_id, mode, source_id, page, score, n_matched, n_terms): BM25 of pages with a query term.
+def phrase_hits(indexed: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, mode, n_phrases, phrase, source_id, page, length, tf): how often each phrase stands in each page.
 
-    Modes 'any' (one term is enough), 'all' (every term) and 'prefix' (a term
-    begins with a query term; each matching term counts by its own frequency).
-    A term that more than half of the pages hold weighs 1e-6, as negative
-    weights would rank its absence.  score is larger for better pages.
+    In mode 'prefix' a phrase's last word is the beginning of the page's word;
+    beginnings of any length count.
     """
-    wanted = broadcast_if_small(query_terms(queries, stemmed), QUERY_TERMS)
-    terms = T.column("stemmed_tokens")(F.col("text")) if stemmed else plain_terms(F.col("text"))
-    words = pages.select(*PAGE, terms.alias("terms")).select(*PAGE, F.size("terms").alias("length"), F.explode("terms").alias("posting_term"))
-    plain = wanted.where("mode <> 'prefix'")
-    begun = wanted.where("mode = 'prefix'").withColumn("start", F.substring("term", 1, 3))
-    columns = ["query_id", "mode", "n_terms", "term", "posting_term", *PAGE, "length"]
-    exact = words.join(plain, F.col("posting_term") == F.col("term")).select(*columns)
-    longer = words.join(begun, (F.substring("posting_term", 1, 3) == F.col("start")) & F.col("posting_term").startswith(F.col("term"))).select(*columns)
-    # only words that a query asks for are counted and shuffled
-    hits = exact.unionByName(longer).groupBy(*columns).agg(F.count("*").alias("tf"))
-    frequency = hits.select("posting_term", *PAGE).distinct().groupBy("posting_term").agg(F.count("*").alias("df"))
-    total = corpus(pages, stemmed)
-    weight = F.greatest(F.log((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    wanted = broadcast_if_small(phrases, QUERY_TERMS)
+    places = indexed.select(*PAGE, "length", F.posexplode("terms").alias("pos", "held"))
+    begins = (F.col("mode") == "prefix") & (F.col("at") == F.col("n_words") - 1)
+    whole = wanted.where(~begins)
+    # page words meet beginnings by equality, at the lengths that the queries have
+    begun = phrases.where(begins)
+    lengths = sorted(r[0] for r in begun.select(F.char_length("term")).distinct().collect())  # at most the longest query word
+    columns = ["query_id", "mode", "n_phrases", "phrase", "n_words", "at", *PAGE, "length", "pos"]
+    met = places.join(whole, F.col("held") == F.col("term")).select(*columns)
+    if lengths:
+        starts = F.explode(F.filter(F.array(*[F.when(F.char_length("held") >= n, F.substring("held", 1, n)) for n in lengths]), lambda x: x.isNotNull()))
+        met = met.unionByName(places.withColumn("start_of", starts).join(broadcast_if_small(begun, QUERY_TERMS), F.col("start_of") == F.col("term")).select(*columns))
+    keys = ["query_id", "mode", "n_phrases", "phrase", *PAGE, "length"]
+    one = met.where("n_words = 1").groupBy(*keys).agg(F.count("*").alias("tf"))
+    runs = met.where("n_words > 1").groupBy(*keys, (F.col("pos") - F.col("at")).alias("start"), "n_words").agg(F.count("*").alias("n")).where("n = n_words")
+    return one.unionByName(runs.groupBy(*keys).agg(F.count("*").alias("tf")))
+
+
+def scores(pages: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(query_id, mode, source_id, page, score, n_matched, n_phrases): BM25 of pages with a query's phrases.
+
+    Modes 'any' (one phrase is enough), 'all' (every phrase), 'phrase' (all
+    words in a row) and 'prefix' (a word begins with a query word).  A phrase
+    that half of the pages or more hold weighs 1e-6, as negative weights would
+    rank its absence.  score is larger for better pages.
+    """
+    indexed = index(pages, stemmed)
+    hits = phrase_hits(indexed, query_phrases(queries, stemmed))
+    frequency = F.broadcast(hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df")))  # one row per phrase of the counted queries
+    total = indexed.agg(F.count("*").alias("n_pages"), F.avg("length").alias("mean_length"))
+    odds = F.log((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(odds > 0, odds).otherwise(F.lit(1e-6))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     found = (
-        hits.join(frequency, "posting_term").crossJoin(F.broadcast(total))  # one row
-        .groupBy("query_id", "mode", "n_terms", *PAGE)
-        .agg(F.sum(part).alias("score"), F.count_distinct("term").alias("n_matched"))
-    )
-    return found.where((F.col("mode") != "all") | (F.col("n_matched") == F.col("n_terms"))).select("query_id", "mode", *PAGE, "score", "n_matched", "n_terms")
+        hits.join(frequency, ["query_id", "phrase"]).crossJoin(F.broadcast(total))  # one row
+        .groupBy("query_id", "mode", "n_phrases", *PAGE)
+        .agg(F.sum(part).alias("score"), F.count("*").alias("n_matched"))
+    )
+    return found.where((F.col("mode") != "all") | (F.col("n_matched") == F.col("n_phrases"))).select("query_id", "mode", *PAGE, "score", "n_matched", "n_phrases")
 
 
-def phrase_pages(pages: DataFrame, queries: DataFrame) -> DataFrame:
+def phrase_pages(pages: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
     """(query_id, source_id, page, n_hits): pages with a query's words in a row, by token positions."""
-    asked = queries.select("query_id", F.posexplode(plain_terms(F.col("query"))).alias("at", "term"), F.size(plain_terms(F.col("query"))).alias("n_terms"))
-    met = tokens(pages).join(broadcast_if_small(asked, QUERY_TERMS), "term")
-    runs = met.groupBy("query_id", *PAGE, (F.col("pos") - F.col("at")).alias("start"), "n_terms").agg(F.count("*").alias("n")).where("n = n_terms")
-    return runs.groupBy("query_id", *PAGE).agg(F.count("*").alias("n_hits"))
+    asked = query_phrases(queries.withColumn("mode", F.lit("phrase")), stemmed)
+    return phrase_hits(index(pages, stemmed), asked).select("query_id", *PAGE, F.col("tf").alias("n_hits"))
 
 
 def literal_pages(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, source_id, page, spans): pages with a query's exact wording, unscored."""
-    asked = F.broadcast(queries.select("query_id", "query"))  # a batch of at most eight requests
-    met = pages.where(F.col("text").isNotNull()).crossJoin(asked).select("query_id", *PAGE, T.column("literal_spans")(F.col("text"), F.col("query")).alias("spans"))
-    return met.where(F.size("spans") > 0)
+    """(query_id, source_id, page, spans): pages with a query's exact wording, unscored.
+
+    A page is looked through only if it holds the query's longest word; a query
+    without words stands nowhere.
+    """
+    asked = broadcast_if_small(queries.select("query_id", "query", T.column("literal_anchor")(F.col("query")).alias("anchor")).where("anchor is not null"), QUERY_TERMS)
+    held = pages.where(F.col("text").isNotNull())
+    met = held.select(*PAGE, F.explode(T.column("literal_words")(F.col("text"))).alias("anchor")).join(asked, "anchor").select("query_id", "query", *PAGE)
+    found = met.join(held.select(*PAGE, "text"), PAGE).select("query_id", *PAGE, T.column("literal_spans")(F.col("text"), F.col("query")).alias("spans"))
+    return found.where(F.size("spans") > 0)
+
+
+def reading_order(sources: DataFrame) -> DataFrame:
+    """(source_id, role_place, path): what orders sources for reading; ``sources`` has (source_id, role, path).
+
+    A source that is listed twice counts by its first place.
+    """
+    from evispark.operators.projections import role_rank
+
+    place = F.min(F.struct(role_rank(F.col("role")).alias("role_place"), F.lower("path").alias("path"))).alias("p")
+    return sources.groupBy("source_id").agg(place).select("source_id", "p.role_place", "p.path")
 
 
-def ranked(found: DataFrame, limit: int = LIMIT, decimals: int = 4) -> DataFrame:
-    """The best ``limit`` pages of each query: rank and rank within the source; ties go by source and page.
+def ranked(found: DataFrame, limit: int = LIMIT, decimals: int = 4, order: DataFrame | None = None) -> DataFrame:
+    """The best ``limit`` pages of each query: rank and rank within the source.
 
-    Scores are compared at ``decimals`` places, so that the order of summation
-    cannot decide.
+    Ties go by the sources' reading order (role, path without case, id; sources
+    that ``order`` does not list come last), then by page; without ``order`` by
+    source id.  Scores are compared at ``decimals`` places, so that the order of
+    summation cannot decide.
     """
     rounded = found.withColumn("score", F.round("score", decimals))
-    order = [F.desc("score"), F.asc("source_id"), F.asc("page")]
-    top = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
-    return top.withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy("rank")))
+    ties = [F.asc("source_id"), F.asc("page")]
+    if order is not None:
+        rounded = rounded.join(broadcast_if_small(order, SOURCES), "source_id", "left")
+        ties = [F.asc_nulls_last("role_place"), F.asc_nulls_last("path"), *ties]
+    top = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ties))).where(F.col("rank") <= limit)
+    return top.drop("role_place", "path").withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy("rank")))
 
 
 def result_page(hits: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -122,11 +160,10 @@ def cursor(session, offset: int):
     return F.concat(F.lit("sc_"), F.substring(session, 8, 16), F.lit(f"_{offset}"))
 
 
-def term_feedback(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, source_id, term, n_pages): pages per source that hold each of a query's first 16 terms."""
-    first = queries.select("query_id", F.slice(F.array_distinct(plain_terms(F.col("query"))), 1, FEEDBACK_TERMS).alias("terms"))
-    wanted = broadcast_if_small(first.select("query_id", F.explode("terms").alias("term")), QUERY_TERMS)
-    return index(pages).join(wanted, "term").groupBy("query_id", "source_id", "term").agg(F.count_distinct("page").alias("n_pages"))
+def term_feedback(pages: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(query_id, source_id, phrase, n_pages): pages per source that hold each of a query's first 16 terms."""
+    first = query_phrases(queries.withColumn("mode", F.lit("any")), stemmed).where(F.col("phrase") < FEEDBACK_TERMS)
+    return phrase_hits(index(pages, stemmed), first).groupBy("query_id", "source_id", "phrase").agg(F.count("*").alias("n_pages"))
 
 
 def feedback_sources(feedback: DataFrame, hits: DataFrame) -> DataFrame:
@@ -177,10 +214,10 @@ def suggestions(terms: DataFrame, catalogue: DataFrame) -> DataFrame:
     return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= PER_TERM).select("term", "word", "distance", "place")
 
 
-def reading_leads(pages: DataFrame, questions: DataFrame, k: int = 4) -> DataFrame:
+def reading_leads(pages: DataFrame, questions: DataFrame, k: int = 4, stemmed: bool = True, order: DataFrame | None = None) -> DataFrame:
     """The best ``k`` pages of each question by its words of at least five letters."""
     long = F.array_join(F.filter(plain_terms(F.col("query")), lambda w: F.length(w) >= 5), " ")
-    return ranked(scores(pages, questions.select("query_id", F.lit("any").alias("mode"), long.alias("query"))), k)
+    return ranked(scores(pages, questions.select("query_id", F.lit("any").alias("mode"), long.alias("query")), stemmed), k, order=order)
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -192,7 +229,8 @@ def lines(pages: DataFrame) -> DataFrame:
 
 def match_clusters(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, source_id, page, cluster, first_line, last_line, n_lines): lines with query terms, neighbours joined."""
-    wanted = broadcast_if_small(query_terms(queries).select("query_id", "term").distinct(), QUERY_TERMS)
+    terms = F.explode(F.array_distinct(plain_terms(F.col("query")))).alias("term")
+    wanted = broadcast_if_small(queries.select("query_id", terms).distinct(), QUERY_TERMS)
     cut = pages.select(*PAGE, F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     hit = cut.select(*PAGE, (F.col("at") + 1).alias("line_no"), F.explode(F.array_distinct(plain_terms(F.col("line")))).alias("term"))
     hit = hit.join(wanted, "term").select("query_id", *PAGE, "line_no").distinct()

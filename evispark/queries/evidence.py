@@ -9,14 +9,14 @@ from evispark.functions import windows
 from evispark.operators import binding, decisions, projections
 from evispark.operators import retrieval as R
 from evispark.queries import general
-from evispark.queries.retrieval import _pages, _requests
+from evispark.queries.retrieval import _order, _pages, _requests
 from evispark.sources import load
 
 
 def search_passages(spark: SparkSession, sf: str) -> DataFrame:
     """The passages of each query's best ten pages, ranked by page and place."""
     asked, pages = _requests(spark), _pages(spark, sf)
-    hits = R.ranked(R.scores(pages, asked, stemmed=True), 10).select("query_id", "source_id", "page", "rank")
+    hits = R.ranked(R.scores(pages, asked), 10, order=_order(spark, sf)).select("query_id", "source_id", "page", "rank")
     met = hits.join(pages, ["source_id", "page"]).join(F.broadcast(asked.select("query_id", "query")), "query_id")  # at most eight requests
     found = met.select("query_id", "source_id", "page", "rank", F.posexplode(windows.passages_udf()(F.col("text"), F.col("query"))).alias("cluster", "p"))
     return found.select("query_id", "source_id", "page", "rank", "cluster", "p.*")

@@ -33,41 +33,53 @@ def _values(rows) -> str:
 
 
 _PAGES = "pg as (select source_id, page, any_value(text) as text from pages group by 1, 2)"
-_TOK = f"{_PAGES}, tok as (select source_id, page, generate_subscripts(terms, 1) - 1 as pos, unnest(terms) as term, len(terms) as length from (select source_id, page, regexp_extract_all(lower(text), '[a-z0-9]+') as terms from pg where text is not null))"
-_CORP = "corp as (select count(*) as n, avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))) as avgdl from pg where text is not null)"
+_WORDS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
+_TOK = f"{_PAGES}, pt as (select source_id, page, {_WORDS} as terms from pg where text is not null), tok as (select source_id, page, generate_subscripts(terms, 1) - 1 as pos, unnest(terms) as term, len(terms) as length from pt)"
+_CORP = "corp as (select count(*) as n, avg(len(terms)) as avgdl from pt)"
+_ORDER = """so as (select source_id, min({k: coalesce(list_position(['main_article', 'registry', 'supplement', 'sap', 'protocol', 'other'], json_extract_string(payload, '$.role')) - 1, 5), p: lower(json_extract_string(payload, '$.logical_path'))}) as o from source_index group by 1)"""
 
 
 def _bm25(requests, limit: int, letters: int = 1) -> str:
     return f"""
-with {_TOK}, {_CORP},
+with {_TOK}, {_CORP}, {_ORDER},
 req(query_id, mode, query) as (values {_values(requests)}),
-qt as (select distinct query_id, mode, term, n_terms from (select query_id, mode, unnest(t) as term, len(list_distinct(t)) as n_terms from (select query_id, mode, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: length(x) >= {letters}) as t from req))),
-hits as (select q.query_id, q.mode, q.n_terms, q.term, t.term as posting, t.source_id, t.page, t.length, count(*) as tf
+qt as (select query_id, mode, generate_subscripts(t, 1) as phrase, unnest(t) as term, len(t) as n_phrases from (select query_id, mode, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: length(x) >= {letters}) as t from req)),
+hits as (select q.query_id, q.mode, q.n_phrases, q.phrase, t.source_id, t.page, t.length, count(*) as tf
          from tok t join qt q on (q.mode = 'prefix' and starts_with(t.term, q.term)) or (q.mode <> 'prefix' and t.term = q.term) group by all),
-df as (select posting, count(*) as df from (select distinct posting, source_id, page from hits) group by 1),
-sc as (select query_id, mode, n_terms, source_id, page, count(distinct term) as n_matched,
-              sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))) as score
-       from hits join df using (posting), corp group by 1, 2, 3, 4, 5),
-ok as (select query_id, mode, source_id, page, round(score, 4) as score, n_matched from sc where mode <> 'all' or n_matched = n_terms),
-top as (select *, row_number() over (partition by query_id order by score desc, source_id, page) as rank from ok qualify rank <= {limit})
+df as (select query_id, phrase, count(*) as df from hits group by 1, 2),
+sc as (select query_id, mode, n_phrases, source_id, page, count(*) as n_matched,
+              sum((case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))) as score
+       from hits join df using (query_id, phrase), corp group by 1, 2, 3, 4, 5),
+ok as (select query_id, mode, source_id, page, round(score, 4) as score, n_matched, o from sc left join so using (source_id) where mode <> 'all' or n_matched = n_phrases),
+top as (select *, row_number() over (partition by query_id order by score desc, o.k nulls last, o.p nulls last, source_id, page) as rank from ok qualify rank <= {limit})
 """
 
 
+def _order(spark: SparkSession, sf: str) -> DataFrame:
+    """The reading order of the sources."""
+    rows = load(spark, sf, "source_index").select("source_id", F.get_json_object("payload", "$.role").alias("role"), F.get_json_object("payload", "$.logical_path").alias("path"))
+    return R.reading_order(rows)
+
+
+def _ranked(spark: SparkSession, sf: str, rows=REQUESTS, stemmed: bool = True, limit: int = 100) -> DataFrame:
+    return R.ranked(R.scores(_pages(spark, sf), _requests(spark, rows), stemmed), limit, order=_order(spark, sf))
+
+
 def search(spark: SparkSession, sf: str) -> DataFrame:
-    return R.ranked(R.scores(_pages(spark, sf), _requests(spark)), 100).select("query_id", "mode", "source_id", "page", "score", "n_matched", "rank", "source_rank")
+    """Stems of both columns, ranked; there is no SQL for stems, the tests compare with a full-text engine."""
+    return _ranked(spark, sf).select("query_id", "mode", "source_id", "page", "score", "n_matched", "rank", "source_rank")
 
 
-def search_page_two(spark: SparkSession, sf: str) -> DataFrame:
-    hits = R.ranked(R.scores(_pages(spark, sf), _requests(spark)), 100)
-    return R.result_page(hits, 10, 10).select("query_id", "source_id", "page", "rank", "truncated")
+def search_unstemmed(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(spark, sf, stemmed=False).select("query_id", "mode", "source_id", "page", "score", "n_matched", "rank", "source_rank")
 
 
-def search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    return R.ranked(R.scores(_pages(spark, sf), _requests(spark), stemmed=True), 100).select("query_id", "source_id", "page", "score", "rank")
+def search_page_two(spark: SparkSession, sf: str) -> DataFrame:
+    return R.result_page(_ranked(spark, sf, stemmed=False), 10, 10).select("query_id", "source_id", "page", "rank", "truncated")
 
 
 def search_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return R.phrase_pages(_pages(spark, sf), _requests(spark, PHRASES))
+    return R.phrase_pages(_pages(spark, sf), _requests(spark, PHRASES), stemmed=False)
 
 
 def search_literal(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,18 +90,17 @@ def search_receipt(spark: SparkSession, sf: str) -> DataFrame:
     """One receipt per query: its session identity, cursor and what it returned."""
     spec = F.to_json(F.struct("mode", "query", "query_id"))
     sessions = _requests(spark).select("query_id", P.identity(spec).alias("session"))
-    hits = R.ranked(R.scores(_pages(spark, sf), _requests(spark)), 100).groupBy("query_id").agg(F.count("*").alias("n_returned"), F.max("rank").alias("last_rank"))
+    hits = _ranked(spark, sf, stemmed=False).groupBy("query_id").agg(F.count("*").alias("n_returned"), F.max("rank").alias("last_rank"))
     joined = sessions.join(hits, "query_id", "left").fillna(0, ["n_returned"])
     return joined.select("query_id", "session", R.cursor(F.col("session"), 10).alias("cursor"), "n_returned", (F.col("n_returned") == 0).alias("no_hits"), F.coalesce(F.col("last_rank") == 100, F.lit(False)).alias("broad"))
 
 
 def term_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    return R.term_feedback(_pages(spark, sf), _requests(spark))
+    return R.term_feedback(_pages(spark, sf), _requests(spark), stemmed=False)
 
 
 def feedback_sources(spark: SparkSession, sf: str) -> DataFrame:
-    pages, asked = _pages(spark, sf), _requests(spark)
-    return R.feedback_sources(R.term_feedback(pages, asked), R.ranked(R.scores(pages, asked), 100))
+    return R.feedback_sources(R.term_feedback(_pages(spark, sf), _requests(spark), stemmed=False), _ranked(spark, sf, stemmed=False))
 
 
 def spelling_catalogue(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +113,7 @@ def spelling_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reading_leads(spark: SparkSession, sf: str) -> DataFrame:
-    return R.reading_leads(_pages(spark, sf), _requests(spark)).select("query_id", "source_id", "page", "score", "rank")
+    return R.reading_leads(_pages(spark, sf), _requests(spark), stemmed=False, order=_order(spark, sf)).select("query_id", "source_id", "page", "score", "rank")
 
 
 def line_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,21 +186,25 @@ _LINES = f"with {_PAGES}, ln as (select source_id, page, generate_subscripts(l,
 QUERIES = {
     f.__name__: f
     for f in (
-        search, search_page_two, search_stemmed, search_phrase, search_literal, search_receipt, term_feedback, feedback_sources, spelling_catalogue, spelling_suggestions,
+        search, search_unstemmed, search_page_two, search_phrase, search_literal, search_receipt, term_feedback, feedback_sources, spelling_catalogue, spelling_suggestions,
         reading_leads, line_table, match_clusters, navigation, selected_lines, preview_lines, search_continuation, evidence_selection, source_page_read, projection_hashes,
         readable_pages, search_forms, context_sheets, main_report_prefix,
     )
 }
 ORACLE = {
-    "search": _bm25(REQUESTS, 100) + "select query_id, mode, source_id, page, score, n_matched, rank, row_number() over (partition by query_id, source_id order by rank) as source_rank from top",
+    "search_unstemmed": _bm25(REQUESTS, 100) + "select query_id, mode, source_id, page, score, n_matched, rank, row_number() over (partition by query_id, source_id order by rank) as source_rank from top",
     "search_page_two": _bm25(REQUESTS, 100) + "select query_id, source_id, page, rank, truncated from (select *, max(rank) over (partition by query_id) > 20 as truncated from top) where rank between 11 and 20",
     "search_phrase": f"""with {_TOK}, req(query_id, mode, query) as (values {_values(PHRASES)}),
 q as (select query_id, generate_subscripts(t, 1) - 1 as ord, unnest(t) as term, len(t) as n_terms from (select query_id, regexp_extract_all(lower(query), '[a-z0-9]+') as t from req)),
 runs as (select query_id, source_id, page, pos - ord as start, n_terms, count(*) as n from tok join q using (term) group by all having count(*) = n_terms)
 select query_id, source_id, page, count(*) as n_hits from runs group by 1, 2, 3""",
+    "search_receipt": _bm25(REQUESTS, 100) + """, h as (select query_id, count(*) as n_returned, max(rank) as last_rank from top group by 1)
+select r.query_id, 'sha256:' || sha256('{"mode":"' || mode || '","query":"' || query || '","query_id":"' || r.query_id || '"}') as session,
+       'sc_' || substring('sha256:' || sha256('{"mode":"' || mode || '","query":"' || query || '","query_id":"' || r.query_id || '"}'), 8, 16) || '_10' as cursor,
+       coalesce(n_returned, 0) as n_returned, coalesce(n_returned, 0) = 0 as no_hits, coalesce(last_rank = 100, false) as broad from req r left join h on h.query_id = r.query_id""",
     "term_feedback": f"""with {_TOK}, req(query_id, mode, query) as (values {_values(REQUESTS)}),
-q as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) as term from req)
-select query_id, source_id, term, count(distinct page) as n_pages from tok join q using (term) group by 1, 2, 3""",
+q as (select query_id, generate_subscripts(t, 1) - 1 as phrase, unnest(t) as term from (select query_id, regexp_extract_all(lower(query), '[a-z0-9]+') as t from req))
+select query_id, source_id, phrase, count(distinct page) as n_pages from tok join q using (term) group by 1, 2, 3""",
     "feedback_sources": _bm25(REQUESTS, 100) + """, fb as (select distinct query_id, source_id from tok join (select distinct query_id, term from qt) using (term)), hit as (select distinct query_id, source_id, 0 as h from top)
 select query_id, source_id, row_number() over (partition by query_id order by coalesce(h, 1), source_id) as place from fb left join hit using (query_id, source_id) qualify place <= 64""",
     "spelling_catalogue": f"""with {_PAGES}, w as (select distinct source_id, page, word from (select source_id, page, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as word from pg) where regexp_full_match(word, '[a-z]{{5,40}}'))

@@ -7,6 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from evispark.functions import text
 from evispark.operators import decisions, intervals, lineage, projections, retrieval, scoring, sets
 
 
@@ -21,29 +22,50 @@ CORPUS = [
 ]
 
 
-def test_stemmed_ranking_equals_a_full_text_engine(spark):
+def engine(rows):
+    """A full-text engine over a text column and its searchable form."""
     db = sqlite3.connect(":memory:")
-    db.execute("create virtual table f using fts5(text, tokenize='porter unicode61')")
-    held = [r for r in CORPUS if r[2] is not None]
-    for i, r in enumerate(held):
-        db.execute("insert into f(rowid, text) values (?, ?)", (i, r[2]))
-    for query in ("allocation pharmacy", "placebo", "participants lost", "random"):
-        expected = [(held[i][0], held[i][1], round(-score, 4)) for i, score in db.execute("select rowid, bm25(f) from f where f match ?", (" OR ".join(f'"{t}"' for t in query.split()),))]
-        got = retrieval.ranked(retrieval.scores(frame(spark, CORPUS, PAGES), frame(spark, [("q", "any", query)], "query_id string, mode string, query string"), stemmed=True), 100).collect()
-        assert {(r.source_id, r.page) for r in got} == {e[:2] for e in expected}
-        order = {e[:2]: e[2] for e in expected}
-        assert all(abs(r.score - order[r.source_id, r.page]) < 1e-3 for r in got), (query, got, order)
-
-
-def test_modes_phrases_and_literals(spark):
-    asked = frame(spark, [("all", "all", "placebo group"), ("pre", "prefix", "random"), ("none", "any", "zzz"), ("empty", "any", "")], "query_id string, mode string, query string")
-    got = {(r.query_id, r.source_id, r.page) for r in retrieval.scores(frame(spark, CORPUS, PAGES), asked).collect()}
-    assert got == {("all", "s2", 1), ("pre", "s1", 2), ("pre", "s3", 3)}
+    db.execute("create virtual table f using fts5(raw, form, tokenize='porter unicode61')")
+    for i, r in enumerate(rows):
+        form = text.search_text(r[2])
+        db.execute("insert into f(rowid, raw, form) values (?, ?, ?)", (i, r[2], form if form != r[2] else ""))
+    return db
+
+
+def expression(query, mode):
+    terms = [f'"{t}"' for t in text.query_text(query).split()]
+    return {"any": " OR ".join(terms), "all": " AND ".join(terms), "prefix": " OR ".join(f"{t}*" for t in terms), "phrase": '"' + " ".join(t.strip('"') for t in terms) + '"'}[mode]
+
+
+@pytest.mark.parametrize("mode", ["any", "all", "prefix", "phrase"])
+def test_ranking_equals_a_full_text_engine(spark, mode):
+    """Accents, full-width and soft-hyphenated forms, phrases, repeated terms and beginnings of one letter on."""
+    rows = [*CORPUS, ("s5", 1, "Straße und STRASSE; naïve co-\noperation of ran\u00ad\ndom ｐｌａｃｅｂｏ_groups"), ("s5", 2, "low-dose placebo, low dose placebo; dose low")]
+    held = [r for r in rows if r[2] is not None]
+    db = engine(held)
+    queries = ["allocation pharmacy", "placebo", "placebo placebo group", "participants lost", "random", "r", "ra", "low-dose placebo", "strasse naive", "follow-up", "lost to follow-up", "ｐｌａｃｅｂｏ", "randomised, participants."]
+    asked = frame(spark, [(q, mode, q) for q in queries] + [("empty", mode, " . ")], "query_id string, mode string, query string")
+    got = retrieval.scores(frame(spark, rows, PAGES), asked).collect()
+    for query in queries:
+        expected = {(held[i][0], held[i][1]): -score for i, score in db.execute("select rowid, bm25(f) from f where f match ?", (expression(query, mode),))}
+        mine = {(r.source_id, r.page): r.score for r in got if r.query_id == query}
+        assert mine.keys() == expected.keys(), query
+        assert all(abs(mine[k] - expected[k]) < 1e-6 for k in mine), (query, mine, expected)
+    assert not any(r.query_id == "empty" for r in got)
+
+
+def test_ties_follow_the_reading_order(spark):
+    found = frame(spark, [("q", s, 1, 1.0) for s in "abcd"] + [("q", "a", 2, 2.0)], "query_id string, source_id string, page int, score double")
+    order = retrieval.reading_order(frame(spark, [("a", "other", "x"), ("b", "protocol", "Z"), ("c", "protocol", "y"), ("c", "other", "a")], "source_id string, role string, path string"))
+    assert [(r.source_id, r.page, r.source_rank) for r in retrieval.ranked(found, 9, order=order).orderBy("rank").collect()] == [("a", 2, 1), ("c", 1, 1), ("b", 1, 1), ("a", 1, 2), ("d", 1, 1)]
+
+
+def test_phrases_and_literals(spark):
     phrases = frame(spark, [("p", "phrase", "lost to follow up"), ("q", "phrase", "follow lost")], "query_id string, mode string, query string")
-    assert [(r.query_id, r.page, r.n_hits) for r in retrieval.phrase_pages(frame(spark, CORPUS, PAGES), phrases).collect()] == [("p", 2, 1)]
-    literal = retrieval.literal_pages(frame(spark, CORPUS, PAGES), frame(spark, [("l", "literal", "PLACEBO")], "query_id string, mode string, query string")).collect()
-    assert {(r.source_id, r.page, len(r.spans)) for r in literal} == {("s1", 2, 1), ("s2", 1, 2)}
-    assert retrieval.scores(frame(spark, [], PAGES), asked).count() == 0
+    assert [(r.query_id, r.page, r.n_hits) for r in retrieval.phrase_pages(frame(spark, CORPUS, PAGES), phrases).collect()] == [("p", 2, 2)]  # in both columns
+    literal = retrieval.literal_pages(frame(spark, CORPUS, PAGES), frame(spark, [("l", "literal", "PLACEBO"), ("m", "literal", "..."), ("n", "literal", "lacebo"), ("o", "literal", "follow-up.")], "query_id string, mode string, query string")).collect()
+    assert {(r.query_id, r.source_id, r.page, len(r.spans)) for r in literal} == {("l", "s1", 2, 1), ("l", "s2", 1, 2), ("o", "s3", 2, 1)}
+    assert retrieval.scores(frame(spark, [], PAGES), phrases).count() == 0
 
 
 def test_suggestions_meet_by_deletions(spark):
