@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.llm.codepoints import chunks, decode
-from evispark.plans import staged
+from evispark.plans import broadcast_if_small, staged
 
 SPAN, K = 200, 100
-#: a seed in up to so many records, at up to four times as many places, pairs them all; beyond it, windows do (exactly)
+#: a seed at up to so many places pairs them all; beyond it, windows do (exactly)
 DIRECT = 8
+#: most repeated seeds that are broadcast; more are joined by shuffling
+SEEDS = 1_000_000
 #: characters of gap that cost as much as one matched character gains
 GAP_COST = 0.05
 
@@ -186,7 +188,7 @@ def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int
 
     ``before`` and ``after`` are the characters by which the match extends on
     each side, at most span - k.  rec_a < rec_b.  Records without a key are none;
-    a key that comes twice counts once.  A seed in more than ``direct`` records
+    a key that comes twice counts once.  A seed at more than ``direct`` places
     is not paired in full: there each record meets the first and the last record
     of each of its windows, and ``star`` is true, so that records with one
     window are those that share a partner in it.
@@ -196,8 +198,11 @@ def shared_matches(records: DataFrame, span: int = SPAN, k: int = K, direct: int
     the joins on it are plain ones, which adaptive execution splits.
     """
     light = staged(seeds(records, span, k).where("rec is not null and seed is not null"))
-    shared = light.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.approx_count_distinct("rec", 0.1).alias("n"), F.count("*").alias("places")).where("low < high")
-    occurrences = light.join(shared.select("seed", ((F.col("n") > direct) | (F.col("places") > 4 * direct)).alias("hot")), "seed")
+    # only the seed and its count are shuffled; what stands once leaves here
+    repeated = light.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    again = staged(light.join(broadcast_if_small(staged(repeated), SEEDS), "seed").distinct())
+    shared = again.groupBy("seed").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.count("*").alias("places")).where("low < high")
+    occurrences = again.join(shared.select("seed", (F.col("places") > direct).alias("hot")), "seed")
     met = staged(surroundings(records, occurrences, span, k))
 
     few = met.where("not hot").select("seed", "rec", "place", "left", "text")
