@@ -240,26 +240,6 @@ def match_clusters(pages: DataFrame, queries: DataFrame) -> DataFrame:
     return islands.groupBy("query_id", *PAGE, "cluster").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines"))
 
 
-def navigation(pages: DataFrame) -> DataFrame:
-    """(source_id, page, line_no, kind, heading): headings, captions and dates, each with the heading before it.
-
-    A line is running furniture, and no entry, if the same first or last line
-    stands on two or more pages of its source.
-    """
-    all_lines = lines(pages).withColumn("line", F.trim("line")).where(F.col("line") != "")
-    edge = all_lines.groupBy(*PAGE).agg(F.min(F.struct("line_no", "line")).alias("a"), F.max(F.struct("line_no", "line")).alias("z"))
-    furniture = edge.select("source_id", "page", F.explode(F.array("a.line", "z.line")).alias("line")).distinct().groupBy("source_id", "line").agg(F.count_distinct("page").alias("n")).where("n >= 2").select("source_id", "line")
-    kind = (
-        F.when(F.col("line").rlike(r"^#{1,6} \S"), "heading")
-        .when(F.col("line").rlike(r"^\d+(\.\d+)* [A-Z]"), "heading")
-        .when(F.col("line").rlike(r"^(Figure|Table) \d+"), "caption")
-        .when(F.col("line").rlike(r"\b\d{1,2} (January|February|March|April|May|June|July|August|September|October|November|December) \d{4}\b"), "date")
-    )
-    entries = all_lines.withColumn("kind", kind).where(F.col("kind").isNotNull()).join(furniture, ["source_id", "line"], "left_anti")
-    w = Window.partitionBy("source_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return entries.select(*PAGE, "line_no", "kind", F.last(F.when(F.col("kind") == "heading", F.col("line")), ignorenulls=True).over(w).alias("heading"), "line")
-
-
 def select_lines(pages: DataFrame, windows: DataFrame) -> DataFrame:
     """(window_id, text): lines first to last of a page, from 1; windows without any character but blanks leave."""
     asked = windows.where("start_line >= 1 and end_line >= start_line").select("window_id", *PAGE, "start_line", "end_line")

@@ -482,7 +482,11 @@ def listed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return P.listed_sources(rows, ["trial_id"]).select("trial_id", "source_id", "place")
 
 
-@query("with s as (select distinct source_id, json_extract_string(payload, '$.logical_path') as path from source_index), n as (select source_id, path, lower(list_last(string_split(path, '/'))) as f from s) select source_id, path, case when contains(f, 'registry') then 'registry' when contains(f, 'protocol') then 'protocol' when contains(f, 'sap') then 'sap' when contains(f, 'supp') then 'supplement' when contains(f, 'main') then 'main_article' else 'other' end as role from n")
+_STEM = "regexp_replace(f, '(.)[.][^.]*$', '\\1')"
+_ROLE = "case when contains(st, 'disclosure') then 'other' when contains(st, 'protocol') then 'protocol' when contains(st, 'sap') or contains(st, 'analysis') then 'sap' when contains(st, 'supp') or contains(st, 'appendix') then 'supplement' when contains(st, 'registry') or contains(st, 'nct') then 'registry' when regexp_matches(f, '.[.]pdf$') then 'main_article' else 'other' end"
+
+
+@query(f"with s as (select distinct source_id, json_extract_string(payload, '$.logical_path') as path from source_index), n as (select source_id, path, lower(list_last(string_split(path, '/'))) as f from s), m as (select *, {_STEM} as st from n) select source_id, path, {_ROLE} as role from m")
 def inferred_roles(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "source_index").select("source_id", F.get_json_object("payload", "$.logical_path").alias("path")).distinct()
     return rows.select("source_id", "path", P.role_of_path(F.col("path")).alias("role"))
@@ -545,9 +549,14 @@ def dated_lines(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("source_id", "page", "line", date.alias("date"), kind.alias("kind")).where("date <> ''")
 
 
-@query("select l_orderkey, l_linenumber, cast(l_linenumber as varchar) || case when l_linenumber % 2 = 0 then ' (' || l_suppkey || ')' else '' end || ' (' || l_partkey || ' to ' || l_orderkey || ')' || ' [' || l_returnflag || ']' as cell, '| ' || l_returnflag || chr(92) || '|x | ' || l_linestatus || ' |  |' as row from lineitem")
+_BOUNDS = "case when l_linenumber % 5 = 0 then '' else ' (' || case when l_linenumber % 3 = 0 then '' else cast(l_partkey as varchar) end || ' to ' || l_orderkey || ')' end"
+
+
+@query(f"select l_orderkey, l_linenumber, cast(l_linenumber as varchar) || case when l_linenumber % 2 = 0 then ' (' || l_suppkey || ')' else '' end || {_BOUNDS} || ' [' || l_returnflag || ']' as cell, '| ' || l_returnflag || chr(92) || '|x | ' || l_linestatus || ' |  |' as row from lineitem")
 def rendered_cells(spark: SparkSession, sf: str) -> DataFrame:
     spread = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey"))
-    cell = P.measurement(F.col("l_linenumber"), spread, F.col("l_partkey"), F.col("l_orderkey"), F.col("l_returnflag"))
+    known = F.col("l_linenumber") % 5 != 0
+    low, high = F.when(known & (F.col("l_linenumber") % 3 != 0), F.col("l_partkey")), F.when(known, F.col("l_orderkey"))
+    cell = P.measurement(F.col("l_linenumber"), spread, low, high, F.col("l_returnflag"))
     row = P.table_rows(F.array(F.concat("l_returnflag", F.lit("|x")), F.col("l_linestatus")), F.lit(3))
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell"), row.alias("row"))

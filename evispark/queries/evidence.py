@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import windows
-from evispark.operators import binding, decisions, projections
+from evispark.operators import binding, decisions, navigation, projections
 from evispark.operators import retrieval as R
 from evispark.queries import general
 from evispark.queries.retrieval import _order, _pages, _requests
@@ -92,10 +92,11 @@ def registry_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flow_headings(spark: SparkSession, sf: str) -> DataFrame:
-    found = R.lines(_pages(spark, sf)).where(F.lower("line").rlike("participant flow|consort|disposition"))
-
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("page", "line_no"))
-    return found.withColumn("place", place).where("place <= 20").select("source_id", "page", "line_no", "place")
+    """Unread windows below headings of participant flow in the supplements."""
+    listed = load(spark, sf, "source_index").where(F.get_json_object("payload", "$.role") == "supplement").select("source_id").distinct()
+    pages = _pages(spark, sf).join(listed, "source_id", "left_semi")
+    reads = load(spark, sf, "source_window").select(F.col("source_identity").alias("source_id"), "page", F.col("start_line").cast("long").alias("first"), F.col("end_line").cast("long").alias("last"))
+    return navigation.flow_captions(navigation.navigation(pages), pages, reads)
 
 
 def answer_sufficiency(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +167,6 @@ ORACLE = {
     "record_violations": "with r as (select identity, min(payload_hash) as h, min(batch_id) as b, min(trial_id) as t, min(recorded_at) as ra, min(deleted_at) as da from canonical_records group by 1) select identity, 'hash_format' as rule from r where not coalesce(regexp_matches(h, '^sha256:[0-9a-f]{64}$'), false) union all select identity, 'batch_known' from r where b is null union all select identity, 'trial_known' from r where t is null union all select identity, 'lives_forward' from r where not coalesce(da is null or da > ra, false)",
     "window_violations": "with w as (select distinct window_id, start_line as a, end_line as b, page as p from source_window) select window_id, 'starts' as rule from w where not coalesce(a >= 1, false) union all select window_id, 'ordered' from w where not coalesce(b >= a, false) union all select window_id, 'paged' from w where not coalesce(p >= 1, false)",
     "registry_sections": _LN + ", c as (select *, last_value(case when regexp_matches(line, '^\\d+\\.\\d+ \\S') then line end ignore nulls) over (partition by source_id, page order by line_no rows unbounded preceding) as section from ln) select source_id, page, section, min(line_no) as first_line, max(line_no) as last_line from c where section is not null group by 1, 2, 3",
-    "flow_headings": _LN + " select source_id, page, line_no, row_number() over (partition by source_id order by page, line_no) as place from ln where regexp_matches(lower(line), 'participant flow|consort|disposition') qualify place <= 20",
     "scrubbed_leaves": "with lv as (select distinct source_id, '/' || k as path, json_extract_string(payload, '$.' || k) as value from (select source_id, payload, unnest(json_keys(payload)) as k from source_index)) select source_id, path, value from lv where path not in ('/logical_path', '/projection_hash', '/id')",
     "default_flags": "select user_id, " + ", ".join(f"bool_or(event_type = '{k}') as {k}" for k in ("view", "click", "purchase", "signup", "error")) + " from events group by 1",
     "import_counts": "with r as (select session_identity, rank, count(*) as n, min(phase) as phase, min(evidence_identity) as e from search_evidence_provenance group by 1, 2) select phase, cast(sum(n) as bigint) as records, count(*) as imported, cast(sum(n - 1) as bigint) as ignored, count(*) filter (where e is null) as without_evidence, count(distinct session_identity) as searches from r group by 1",

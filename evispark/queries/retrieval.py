@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import text as T
 from evispark.operators import intervals
+from evispark.operators import navigation as N
 from evispark.operators import projections as P
 from evispark.operators import retrieval as R
 from evispark.sources import load
@@ -17,6 +18,7 @@ REQUESTS = [
     ("q4", "any", "baseline differed between arms fasting glucose"), ("q5", "all", "walking distance"), ("q6", "any", "protocol amendment"),
 ]
 PHRASES = [("p1", "phrase", "lost to follow up"), ("p2", "phrase", "handled by multiple imputation"), ("p3", "phrase", "sealed opaque envelopes")]
+RECIPE = "pages.v1"
 WORDS = ["alocation", "randmised", "pharmasy", "placeob", "particpants", "statisticains", "envelopse"]
 
 
@@ -125,7 +127,7 @@ def match_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def navigation(spark: SparkSession, sf: str) -> DataFrame:
-    return R.navigation(_pages(spark, sf))
+    return N.navigation(_pages(spark, sf))
 
 
 def selected_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +158,15 @@ def source_page_read(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def projection_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return P.projection_hash(_pages(spark, sf))
+    """The stated projection hash of a source stands in for the hash of its bytes, which no table holds."""
+    known = load(spark, sf, "source_index").select("source_id", F.get_json_object("payload", "$.projection_hash").alias("sha256"), F.get_json_object("payload", "$.media_type").alias("media_type"))
+    return P.projection_hash(_pages(spark, sf), known.where("sha256 is not null and media_type is not null"), RECIPE)
+
+
+def projection_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source's stated projection hash is that of its pages."""
+    stated = load(spark, sf, "source_index").select("source_id", F.get_json_object("payload", "$.projection_hash").alias("projection_hash")).distinct()
+    return P.reproduced(projection_hashes(spark, sf), stated)
 
 
 def readable_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,12 +192,16 @@ def main_report_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.byte_prefix(sized, ["source_id"], ["page"], "n_bytes", 20_000)
 
 
+_HASHES = f"""with {_PAGES}, kn as (select source_id, min({{a: json_extract_string(payload, '$.projection_hash'), m: json_extract_string(payload, '$.media_type')}}) as k from source_index where json_extract_string(payload, '$.projection_hash') is not null and json_extract_string(payload, '$.media_type') is not null group by 1),
+ag as (select source_id, string_agg('"sha256:' || sha256(coalesce(text, '')) || '"', ',' order by page) as hs, count(*) as page_count from pg group by 1),
+ph as (select source_id, page_count, 'sha256:' || sha256('{{"media_type":"' || k.m || '","page_hashes":[' || hs || '],"recipe":"{RECIPE}","source_sha256":"' || k.a || '"}}') as projection_hash from ag join kn using (source_id))
+"""
 _LINES = f"with {_PAGES}, ln as (select source_id, page, generate_subscripts(l, 1) as line_no, unnest(l) as line from (select source_id, page, string_split(text, chr(10)) as l from pg where text is not null))"
 QUERIES = {
     f.__name__: f
     for f in (
         search, search_unstemmed, search_page_two, search_phrase, search_literal, search_receipt, term_feedback, feedback_sources, spelling_catalogue, spelling_suggestions,
-        reading_leads, line_table, match_clusters, navigation, selected_lines, preview_lines, search_continuation, evidence_selection, source_page_read, projection_hashes,
+        reading_leads, line_table, match_clusters, navigation, selected_lines, preview_lines, search_continuation, evidence_selection, source_page_read, projection_hashes, projection_checks,
         readable_pages, search_forms, context_sheets, main_report_prefix,
     )
 }
@@ -223,6 +237,7 @@ select window_id, md5(t) as text_hash, length(t) as n_chars from c where trim(re
     "preview_lines": _LINES + ", s as (select *, sum(octet_length(encode(line)) + 1) over (partition by source_id, page order by line_no rows unbounded preceding) as b from ln) select source_id, page, count(*) as n_lines, cast(max(b) as bigint) as n_bytes from s where b <= 512 group by 1, 2",
     "search_continuation": "with r as (select session_identity as session, rank, any_value(evidence_identity) as e, any_value(phase) as phase from search_evidence_provenance group by 1, 2) select session, min(rank) as next_rank from r where not (e is not null and coalesce(phase <> 'review', false)) group by 1",
     "source_page_read": f"with {_PAGES} select source_id, page, length(text) as n_chars from pg where (source_id, page) in (select source_id, page from companion_reference)",
-    "projection_hashes": f"with {_PAGES} select source_id, 'sha256:' || sha256(string_agg(sha256(coalesce(text, '')), '|' order by page)) as projection_hash from pg group by 1",
+    "projection_hashes": _HASHES + "select source_id, projection_hash, page_count from ph",
+    "projection_checks": _HASHES + ", sd as (select distinct source_id, json_extract_string(payload, '$.projection_hash') as stated from source_index) select sd.source_id, case when ph.projection_hash is null then 'missing' when ph.projection_hash = stated then 'same' else 'differs' end as state from sd left join ph on ph.source_id = sd.source_id",
     "main_report_prefix": f"with {_PAGES}, s as (select source_id, page, coalesce(octet_length(encode(text)), 0) as n_bytes from pg where source_id is not null) select source_id, page, n_bytes, running from (select *, cast(sum(n_bytes) over (partition by source_id order by page rows unbounded preceding) as bigint) as running from s) where running <= 20000",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tomllib
 import zipfile
 from collections.abc import Callable, Iterator
@@ -11,9 +12,10 @@ from pathlib import Path
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evispark.functions.text import bounded_lines, readable
 from evispark.sources.shipping import ship
 
 #: The supported formats.
@@ -58,14 +60,14 @@ def pages(files: DataFrame, plug_ins: dict[str, Callable[[bytes], list[str]]] |
 
 
 def _text(content: bytes) -> list[str]:
-    return [content.decode("utf-8-sig")]
+    return [bounded_lines(readable(content.decode("utf-8-sig")))]
 
 
 def _json(content: bytes) -> list[str]:
     def refuse(token: str) -> None:
         raise ValueError(f"{token} is no JSON number")
 
-    return [json_markdown(json.loads(content.decode("utf-8"), parse_constant=refuse))]
+    return [bounded_lines(readable(json_markdown(json.loads(content.decode("utf-8"), parse_constant=refuse))))]
 
 
 def json_markdown(value: object, depth: int = 1) -> str:
@@ -95,34 +97,55 @@ def _scalar(value: object) -> str:
 
 
 def words(key: str) -> str:
-    """A camel-case key as words."""
-    out = "".join(f" {c}" if c.isupper() and i and not key[i - 1].isupper() else c for i, c in enumerate(key.removesuffix("Struct")))
-    return out.replace("_", " ").strip().capitalize()
+    """A camel-case key as a sentence of words, without a closing Struct."""
+    spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", key.removesuffix("Struct")).split()
+    return " ".join(spaced).lower().capitalize() if spaced else key
 
 
 def _docx(content: bytes) -> list[str]:
+    """Paragraphs, tables between their marks and footnotes at the end, as one page.
+
+    A row is a header only if the table says so; a footnote's place in the text
+    is marked with its id, and separators (ids below 0) are no notes.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-        notes = ElementTree.fromstring(archive.read("word/footnotes.xml")) if "word/footnotes.xml" in archive.namelist() else None
+        notes = ElementTree.fromstring(archive.read("word/footnotes.xml")) if "word/footnotes.xml" in archive.namelist() else ()
+    if body is None:
+        raise ValueError("the document has no body")
     lines: list[str] = []
     tables = 0
-    for element in body if body is not None else ():
+    for element in body:
         if element.tag == f"{_W}p":
-            lines.append(_runs(element))
-        elif element.tag == f"{_W}tbl":
+            lines += _inline(element).splitlines()
+        elif element.tag == f"{_W}tbl" and (rows := element.findall(f"{_W}tr")):
             tables += 1
             lines.append(f"[TABLE {tables} START]")
-            for i, row in enumerate(element.iter(f"{_W}tr")):
-                cells = [" ".join(filter(None, map(_runs, cell.iter(f"{_W}p")))) for cell in row.iter(f"{_W}tc")]
-                lines.append(f"{'HEADER' if i == 0 else 'ROW'}: " + " | ".join(cells))
+            for i, row in enumerate(rows, 1):
+                mark = "HEADER" if row.find(f"{_W}trPr/{_W}tblHeader") is not None else f"ROW {i}"
+                lines.append(f"{mark}: | " + " | ".join(map(_one_line, row.findall(f"{_W}tc"))) + " |")
             lines.append(f"[TABLE {tables} END]")
-    if notes is not None:
-        lines += [f"[FOOTNOTE] {t}" for note in notes.iter(f"{_W}footnote") if (t := _runs(note))]
-    return ["\n".join(lines)]
+    listed = sorted((int(i), _one_line(note)) for note in notes if note.tag == f"{_W}footnote" and re.fullmatch(r"\d+", i := note.get(f"{_W}id", "")))
+    held = [f"FOOTNOTE {i}: {said}" for i, said in listed if said]
+    return [bounded_lines(readable("\n".join([*lines, *(["[FOOTNOTES]", *held] if held else [])])))]
+
+
+def _inline(element: ElementTree.Element) -> str:
+    out = []
+    for e in element.iter():
+        if e.tag == f"{_W}t":
+            out.append(e.text or "")
+        elif e.tag == f"{_W}tab":
+            out.append("\t")
+        elif e.tag in (f"{_W}br", f"{_W}cr"):
+            out.append("\n")
+        elif e.tag == f"{_W}footnoteReference" and e.get(f"{_W}id") is not None:
+            out.append(f"[FOOTNOTE {e.get(f'{_W}id')}]")
+    return "".join(out)
 
 
-def _runs(element: ElementTree.Element) -> str:
-    return "".join("\t" if e.tag == f"{_W}tab" else "\n" if e.tag == f"{_W}br" else e.text or "" for e in element.iter() if e.tag in (f"{_W}t", f"{_W}tab", f"{_W}br"))
+def _one_line(element: ElementTree.Element) -> str:
+    return " ".join(filter(None, map(str.strip, _inline(element).splitlines())))
 
 
 READERS: dict[str, Callable[[bytes], list[str]]] = {"txt": _text, "md": _text, "csv": _text, "json": _json, "docx": _docx}
@@ -145,10 +168,15 @@ def manifest(path: str) -> dict:
 
 
 def transcript(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(ordinal, event) of a JSON-lines file: a byte order mark and blank lines are allowed, a malformed line fails.
+    """(file, ordinal, event) of JSON-lines files: a byte order mark and blank lines are allowed, a malformed line fails.
 
-    The ordinal orders the lines; it is the line's place in the file's own order.
+    The ordinal is the line's number in its file, from 1, blank lines counted,
+    however the file is split: lines are numbered within a split, and the lines
+    of the splits before it are added.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).withColumn("ordinal", F.monotonically_increasing_id())
-    clean = raw.withColumn("value", F.regexp_replace(F.trim(F.regexp_replace("value", "\r$", "")), "^﻿", "")).where("value <> ''")
-    return clean.select("ordinal", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("event"))
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(blocks.select("file", "block", (before - F.col("first") + 1).alias("shift")), ["file", "block"])
+    clean = placed.withColumn("value", F.regexp_replace(F.trim(F.regexp_replace("value", "\r$", "")), "^\ufeff", "")).where("value <> ''")
+    return clean.select("file", (F.col("id") + F.col("shift")).alias("ordinal"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("event"))

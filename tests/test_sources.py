@@ -8,9 +8,9 @@ import pytest
 
 from evispark.sources import documents, stores
 
-DOC = """<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Hello</w:t><w:tab/><w:t>there</w:t></w:r></w:p>
-<w:tbl><w:tr><w:tc><w:p><w:r><w:t>Arm</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>N</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>A</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>5</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"""
-NOTES = """<w:footnotes xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:footnote><w:p><w:r><w:t>A note.</w:t></w:r></w:p></w:footnote></w:footnotes>"""
+DOC = """<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Hello</w:t><w:tab/><w:t>there</w:t><w:footnoteReference w:id="2"/><w:cr/><w:t>again</w:t></w:r></w:p>
+<w:tbl/><w:tbl><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc><w:p><w:r><w:t>Arm</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>N</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>A</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>5</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"""
+NOTES = """<w:footnotes xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:footnote w:id="-1"><w:p><w:r><w:t>separator</w:t></w:r></w:p></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>A note.</w:t></w:r></w:p></w:footnote><w:footnote w:id="1"><w:p><w:r><w:t>First</w:t><w:br/><w:t>note.</w:t></w:r></w:p></w:footnote></w:footnotes>"""
 
 
 def test_dossier_to_pages(spark, tmp_path):
@@ -30,8 +30,8 @@ def test_dossier_to_pages(spark, tmp_path):
     found = {r.path.rpartition("/")[2]: (r.page, r.text, r.error) for r in documents.pages(files).collect()}
     assert set(found) == {"main.txt", "table.csv", "registry.json", "bad.json", "scan.bin", "letter.docx"}
     assert found["main.txt"] == (1, "Page é", None) and found["bad.json"][1] is None and "NaN" in found["bad.json"][2] and found["scan.bin"][2].startswith("KeyError")
-    assert found["letter.docx"][1].split("\n")[:6] == ["Hello\tthere", "[TABLE 1 START]", "HEADER: Arm | N", "ROW: A | 5", "[TABLE 1 END]", "[FOOTNOTE] A note."]
-    assert "- Official title: T" in found["registry.json"][1] and "| B\\|C |  |" in found["registry.json"][1] and "- true" in found["registry.json"][1]
+    assert found["letter.docx"][1].split("\n") == ["Hello there[FOOTNOTE 2]", "again", "[TABLE 1 START]", "HEADER: | Arm | N |", "ROW 2: | A | 5 |", "[TABLE 1 END]", "[FOOTNOTES]", "FOOTNOTE 1: First note.", "FOOTNOTE 2: A note."]
+    assert "- Official title: T" in found["registry.json"][1] and "| B\\|C | |" in found["registry.json"][1] and "- true" in found["registry.json"][1]
     two = documents.pages(files.where("format = 'pdf'"), {"pdf": lambda content: ["one", "two"]}).collect()
     assert [(r.page, r.text) for r in two] == [(1, "one"), (2, "two")]
     stores.archive(files, str(tmp_path / "a.zip"))
@@ -53,6 +53,13 @@ def test_pinned_record_manifest_and_transcript(spark, tmp_path):
     (tmp_path / "t.jsonl").write_bytes('﻿{"type": "thread.started"}\r\n\n{"type": "item.started", "item": {"id": "c1"}}\n'.encode())
     events = documents.transcript(spark, str(tmp_path / "t.jsonl"), "type string, item struct<id:string>").orderBy("ordinal").collect()
     assert [(e.event.type, e.event.item and e.event.item.id) for e in events] == [("thread.started", None), ("item.started", "c1")]
+    assert [e.ordinal for e in events] == [1, 3]
+    long = [json.dumps({"type": f"t{i}", "item": {"id": "x" * 50}}) for i in range(3_000)]
+    (tmp_path / "long.jsonl").write_text("\n".join(long))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    many = documents.transcript(spark, str(tmp_path / "*o*.jsonl"), "type string").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(e.ordinal, e.event.type) for e in many} == {(i + 1, f"t{i}") for i in range(3_000)}
     (tmp_path / "bad.jsonl").write_text('{"type": "x"}\n{"type": \n')
     with pytest.raises(Exception):
         documents.transcript(spark, str(tmp_path / "bad.jsonl"), "type string").collect()
