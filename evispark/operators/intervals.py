@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,10 +51,21 @@ def all_covered(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.groupBy(*keys).agg(F.when(F.bool_and(F.col("state") == "delivered"), "read_complete").otherwise("partially_read").alias("reading"))
 
 
-def byte_prefix(items: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """The items of each key up to the first that would exceed the budget, with their running size."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return items.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+def byte_prefix(items: DataFrame, keys: list[str], order: list[str], size: str, budget: int, block: Column | None = None) -> DataFrame:
+    """The items of each key up to the first that would exceed the budget, with their running size.
+
+    ``block`` cuts a key's items into stretches that rise with the order, such
+    as hundreds of pages: sizes are summed per stretch first, so that a window
+    holds one stretch, and stretches beyond the budget leave before they are
+    sorted.  Null sizes count as 0.
+    """
+    held = items.withColumn("block_", F.lit(0) if block is None else block)
+    sums = held.groupBy(*keys, "block_").agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("n_"))
+    earlier = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
+    base = sums.withColumn("base_", F.coalesce(F.sum("n_").over(earlier), F.lit(0))).where(F.col("base_") <= budget).drop("n_")
+    w = Window.partitionBy(*keys, "block_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = held.join(base, [*keys, "block_"])
+    return near.withColumn("running", F.col("base_") + F.sum(F.coalesce(F.col(size), F.lit(0))).over(w)).where(F.col("running") <= budget).select(*items.columns, "running")
 
 
 def packed(items: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.plans import staged
+
 PAGE = ["source_id", "page"]
 #: pages over which one window carries a heading
 BLOCK = 200
@@ -86,11 +88,8 @@ def navigation(pages: DataFrame) -> DataFrame:
     heading at or before the entry.  Null and empty pages have none; repeated
     rows of a page count once.
     """
-    lines = page_lines(pages)
-    useful = useful_lines(lines)
-    line = F.col("line")
-    entry = lambda kind, condition, end="line_no", text="line": useful.where(condition).select(*PAGE, F.col("line_no").alias("start_line"), (F.col(end) if isinstance(end, str) else end).alias("end_line"), F.lit(kind).alias("kind"), (F.col(text) if isinstance(text, str) else text).alias("text"))
-    first = _excerpts(useful)
+    useful = staged(useful_lines(page_lines(pages)))
+    line, low = F.col("line"), F.lower("line")
     blank_before, blank_after = F.coalesce(F.col("before"), F.lit("")) == "", F.coalesce(F.col("after"), F.lit("")) == ""
     n_words = lambda c: F.size(F.split(c, r"\s+"))
     ends = r"[.:;?!]$"
@@ -100,18 +99,15 @@ def navigation(pages: DataFrame) -> DataFrame:
     )
     caption = _like(line, CAPTION)
     heading = (F.char_length(line) <= HEADING) & (caption | ~line.rlike(ends)) & ~line.rlike("[@;]") & (caption | line.rlike(NUMBERED) | (blank_before & blank_after & (n_words(line) <= WORDS)))
-    low = F.lower(line)
-    leads = [
+    entry = lambda kind, condition, end=F.col("line_no"), text=line: F.when(condition, F.struct(F.lit(kind).alias("kind"), end.alias("end_line"), text.alias("text")))
+    kinds = F.array(
         entry("contents_lead", low.isin("contents", "table of contents") | line.rlike(CONTENTS)), entry("version_lead", _like(line, VERSION)), entry("date_lead", date_kind(line).isNotNull()), entry("cross_reference_lead", _like(line, REFERENCE)),
-    ]
-    metadata = leads[0]
-    for other in leads[1:]:
-        metadata = metadata.unionByName(other)
-    headings = entry("heading_candidate", split_heading, F.col("line_no") + 1, F.concat("raw", F.lit("\n"), F.col("after"))).unionByName(entry("heading_candidate", heading)).distinct()
+        entry("heading_candidate", split_heading, F.col("line_no") + 1, F.concat("raw", F.lit("\n"), F.col("after"))), entry("heading_candidate", heading),
+    )
+    found = useful.select(*PAGE, F.col("line_no").alias("start_line"), F.explode(F.array_compact(kinds)).alias("e")).select(*PAGE, "start_line", "e.end_line", "e.kind", "e.text")
     place = [*PAGE, "start_line", "end_line", "text"]
-    excerpts = first.join(metadata.select(*place).distinct(), place, "left_anti")
-    entries = excerpts.unionByName(metadata).unionByName(headings)
-    return carried(entries).select(*PAGE, "start_line", "end_line", "kind", F.when(F.col("kind") == "date_lead", date_kind(F.col("text"))).alias("date_kind"), bounded(F.col("text")).alias("text"), bounded(F.col("section")).alias("section"))
+    excerpts = _excerpts(useful).join(found.where("kind <> 'heading_candidate'").select(*place).distinct(), place, "left_anti")
+    return carried(excerpts.unionByName(found)).select(*PAGE, "start_line", "end_line", "kind", F.when(F.col("kind") == "date_lead", date_kind(F.col("text"))).alias("date_kind"), bounded(F.col("text")).alias("text"), bounded(F.col("section")).alias("section"))
 
 
 def _excerpts(useful: DataFrame) -> DataFrame:

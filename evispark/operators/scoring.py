@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.plans import rows_up_to
 
 def rate(n: Column, d: Column) -> Column:
     """n / d, 0.0 where d is 0."""
@@ -132,7 +137,46 @@ def not_worse(pairs: DataFrame) -> Column:
     return (F.col("right_d") > 0) & (F.col("left_d") > 0) & (F.col("right_n") * F.col("left_d") >= F.col("left_n") * F.col("right_d"))
 
 
-def bootstrap_interval(clusters: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
+#: most clusters whose draws one task makes in order
+CLUSTERS = 100_000
+
+
+def cluster_interval(clusters: DataFrame, seed: int, replicates: int = 2000) -> DataFrame:
+    """One row (low, high, n_clusters): 95 % interval of sum(n) / sum(d), drawing whole clusters with replacement.
+
+    ``clusters`` has (cluster, n, d), one row per cluster.  The draws are those
+    of Python's generator with ``seed``, cluster after cluster in the order of
+    their names, so the result can be reproduced anywhere; as each draw depends
+    on those before, one task makes them, for at most ``CLUSTERS`` clusters (a
+    larger table raises ValueError, see ``poisson_interval``).  Replicates
+    without a denominator are left out; null for fewer than two clusters.
+    """
+    if rows_up_to(clusters, CLUSTERS) > CLUSTERS:
+        raise ValueError("too many clusters for draws in order")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(n or 0, d or 0) for batch in batches for n, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        rng, ratios = random.Random(seed), []
+        for _ in range(replicates if len(rows) >= 2 else 0):
+            drawn = [rng.choice(rows) for _ in rows]
+            if whole := sum(d for _, d in drawn):
+                ratios.append(sum(n for n, _ in drawn) / whole)
+        low, high = (linear_percentile(sorted(ratios), p) for p in (0.025, 0.975)) if ratios else (None, None)
+        yield pa.RecordBatch.from_arrays([pa.array([low], pa.float64()), pa.array([high], pa.float64()), pa.array([len(rows)], pa.int64())], ["low", "high", "n_clusters"])
+
+    once = clusters.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return once.coalesce(1).sortWithinPartitions("cluster").mapInArrow(run, "low double, high double, n_clusters long")
+
+
+def linear_percentile(values: list[float], share: float) -> float:
+    """The percentile of sorted values with linear interpolation."""
+    place = (len(values) - 1) * share
+    low = int(place)
+    high = min(low + 1, len(values) - 1)
+    return values[low] * (1 - (place - low)) + values[high] * (place - low)
+
+
+def poisson_interval(clusters: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """One row (low, high, n_clusters): 95 % interval of sum(n) / sum(d), resampling whole clusters.
 
     ``clusters`` has (n, d), one row per cluster.  Each cluster draws how often

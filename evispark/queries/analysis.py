@@ -131,8 +131,15 @@ def grouping_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def cluster_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of found evidence with whole trials drawn."""
+    clusters = load(spark, sf, "search_evidence_provenance").where("trial_id is not null").groupBy(F.col("trial_id").alias("cluster")).agg(F.count("evidence_identity").alias("n"), F.count("*").alias("d"))
+    return scoring.cluster_interval(clusters, 7)
+
+
+@query()
+def poisson_interval(spark: SparkSession, sf: str) -> DataFrame:
     clusters = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cluster")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n"), F.count("*").alias("d"))
-    return scoring.bootstrap_interval(clusters)
+    return scoring.poisson_interval(clusters)
 
 
 @query("with d as (select user_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as d from events) select user_id, cast(sum(case when d >= 0 then round(d / 1000.0) end) as bigint) as elapsed_ms from d group by 1")

@@ -189,7 +189,7 @@ def context_sheets(spark: SparkSession, sf: str) -> DataFrame:
 def main_report_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Whole pages of each source until 20,000 bytes."""
     sized = _pages(spark, sf).where("source_id is not null").select("source_id", "page", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
-    return intervals.byte_prefix(sized, ["source_id"], ["page"], "n_bytes", 20_000)
+    return intervals.byte_prefix(sized, ["source_id"], ["page"], "n_bytes", 20_000, F.floor(F.col("page") / 200))
 
 
 _HASHES = f"""with {_PAGES}, kn as (select source_id, min({{a: json_extract_string(payload, '$.projection_hash'), m: json_extract_string(payload, '$.media_type')}}) as k from source_index where json_extract_string(payload, '$.projection_hash') is not null and json_extract_string(payload, '$.media_type') is not null group by 1),

@@ -68,6 +68,20 @@ def test_phrases_and_literals(spark):
     assert retrieval.scores(frame(spark, [], PAGES), phrases).count() == 0
 
 
+def test_cluster_draws_are_those_of_the_seeded_generator(spark):
+    rows = [(f"c{i:02}", i % 5, 4 + i % 3) for i in range(12)]
+    rng, ratios = random.Random(7), []
+    for _ in range(300):
+        drawn = [rng.choice(rows) for _ in rows]
+        ratios.append(sum(n for _, n, _ in drawn) / sum(d for _, _, d in drawn))
+    ratios.sort()
+    got = scoring.cluster_interval(frame(spark, rows[::-1], "cluster string, n int, d int").repartition(3), 7, 300).collect()
+    cut = lambda p: ratios[int(299 * p)] * (1 - 299 * p % 1) + ratios[int(299 * p) + 1] * (299 * p % 1)
+    assert len(got) == 1 and got[0].n_clusters == 12 and abs(got[0].low - cut(0.025)) < 1e-12 and abs(got[0].high - cut(0.975)) < 1e-12
+    assert tuple(scoring.cluster_interval(frame(spark, rows[:1], "cluster string, n int, d int"), 7).first()) == (None, None, 1)
+    assert tuple(scoring.cluster_interval(frame(spark, [], "cluster string, n int, d int"), 7).first()) == (None, None, 0)
+
+
 def test_suggestions_meet_by_deletions(spark):
     words = ["randomization", "randomisation", "placebo", "concealment", "allocation"]
     catalogue = frame(spark, [(w, i) for i, w in enumerate(words)], "word string, n_pages long")
@@ -129,6 +143,8 @@ def test_packing_and_prefix(spark):
     packed = {(r.k, r.i): r.sheet for r in intervals.packed(items, ["k"], ["i"], "w", 10).collect()}
     assert packed == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("a", 4): 3, ("a", 5): 3, ("b", 0): 0}
     assert [r.i for r in intervals.byte_prefix(items.where("k = 'a' and w is not null"), ["k"], ["i"], "w", 12).orderBy("i").collect()] == [0, 1, 2]
+    many = frame(spark, [("a", i, 1) for i in range(40)] + [("b", 7, 50)], "k string, i int, w int")
+    assert {(r.k, r.i, r.running) for r in intervals.byte_prefix(many, ["k"], ["i"], "w", 25, F.floor(F.col("i") / 10)).collect()} == {("a", i, i + 1) for i in range(25)}
 
 
 def test_chains_with_cycles_and_branches(spark):
@@ -176,9 +192,9 @@ def test_overall_of_every_vector(spark):
 
 def test_bootstrap_brackets_the_ratio(spark):
     clusters = frame(spark, [(i, i % 3, 3) for i in range(200)], "cluster long, n long, d long")
-    low, high, n = scoring.bootstrap_interval(clusters, 400).first()
+    low, high, n = scoring.poisson_interval(clusters, 400).first()
     assert low < 199 / 600 < high and high - low < 0.1 and n == 200
-    assert tuple(scoring.bootstrap_interval(clusters.limit(1), 50).first()) == (None, None, 1)
+    assert tuple(scoring.poisson_interval(clusters.limit(1), 50).first()) == (None, None, 1)
 
 
 def test_rates_and_agreement_of_nothing(spark):
