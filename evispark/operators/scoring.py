@@ -149,7 +149,8 @@ def cluster_interval(clusters: DataFrame, seed: int, replicates: int = 2000) ->
     their names, so the result can be reproduced anywhere; as each draw depends
     on those before, one task makes them, for at most ``CLUSTERS`` clusters (a
     larger table raises ValueError, see ``poisson_interval``).  Replicates
-    without a denominator are left out; null for fewer than two clusters.
+    without a denominator are left out; null for fewer than two clusters, no row
+    for an empty table.
     """
     if rows_up_to(clusters, CLUSTERS) > CLUSTERS:
         raise ValueError("too many clusters for draws in order")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.operators import decisions as D
-from evispark.operators import flow, intervals, lineage, scoring, sets
+from evispark.operators import comparison, flow, intervals, lineage, scoring, sets
 from evispark.operators import projections as P
 from evispark.sources import load
 
@@ -177,6 +177,46 @@ def trace_facts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_ATTEMPTS = """o as (select cast(o_orderkey as varchar) as attempt_id, o_orderpriority as arm_id, cast(o_custkey as varchar) as cell_id, o_orderstatus as prediction, case when o_totalprice > 50000 then 'assessed' else 'failed' end as status, o_totalprice as cost from orders),
+lb as (select cast(c_custkey as varchar) as cell_id, case when c_nationkey % 2 = 0 then 'O' else 'F' end as label from customer)"""
+
+
+def _outcomes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders read as attempts of arms (priorities) at cells (customers), with a label per cell."""
+    rows = load(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("attempt_id"), F.col("o_orderpriority").alias("arm_id"), F.col("o_custkey").cast("string").alias("cell_id"), F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderstatus").alias("prediction"),
+        F.when(F.col("o_totalprice") > 50000, "assessed").otherwise("failed").alias("status"), F.lit("direct").alias("support"), F.lit(True).alias("completion"), F.lit(1).alias("latency_ms"), F.col("o_totalprice").alias("cost"), F.lit(1).alias("context_bytes"), F.lit(1).alias("tool_calls"),
+    )
+    labels = load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("cell_id"), F.when(F.col("c_nationkey") % 2 == 0, "O").otherwise("F").alias("label"))
+    return rows, labels
+
+
+@query(f"with {_ATTEMPTS} select arm_id, count(*) as attempts, count(*) filter (where status = 'assessed' and label is not null) as n_scored, round(count(*) filter (where status = 'assessed' and label = prediction) / nullif(count(*) filter (where status = 'assessed' and label is not null), 0), 6) as accuracy, round(sum(cost) / 1000, 1) as cost from o left join lb using (cell_id) group by 1")
+def comparison_arms(spark: SparkSession, sf: str) -> DataFrame:
+    return comparison.arm_metrics(*_outcomes(spark, sf)).select("arm_id", "attempts", "n_scored", F.round("accuracy", 6).alias("accuracy"), F.round(F.col("cost") / 1000, 1).alias("cost"))
+
+
+@query(f"with {_ATTEMPTS} select arm_id, label, count(*) as n, round(avg(case when prediction = label then 1.0 else 0.0 end), 6) as recall from o join lb using (cell_id) where status = 'assessed' group by 1, 2")
+def comparison_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return comparison.class_recall(*_outcomes(spark, sf)).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"""with {_ATTEMPTS}, e as (select arm_id, cell_id, count(*) as n, min(prediction) as p from o group by 1, 2), pr as (select distinct arm_id from o),
+m as (select l.arm_id as "left", r.arm_id as "right", l.n = 1 and r.n = 1 as alone, l.p as pl, r.p as p2, label from e l join e r on r.cell_id = l.cell_id and l.arm_id < r.arm_id left join lb on lb.cell_id = l.cell_id)
+select "left", "right", count(*) as matched_cells, count(*) filter (where not alone) as ambiguous_cells, count(*) filter (where alone and pl = p2) as same_prediction, count(*) filter (where alone and pl <> p2) as different_prediction,
+round(count(*) filter (where alone and pl = label) / nullif(count(*) filter (where alone and label is not null), 0), 6) as left_accuracy, round(count(*) filter (where alone and p2 = label) / nullif(count(*) filter (where alone and label is not null), 0), 6) as right_accuracy from m group by 1, 2""")
+def comparison_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows, labels = _outcomes(spark, sf)
+    arms = rows.select("arm_id").distinct()
+    pairs = F.broadcast(arms.select(F.col("arm_id").alias("left"))).join(F.broadcast(arms.select(F.col("arm_id").alias("right"))), F.col("left") < F.col("right")).withColumn("id", F.concat_ws("|", "left", "right"))  # a plan of a few arms
+    return comparison.pair_metrics(rows, pairs, labels, ["cell_id"]).drop("id").withColumns({c: F.round(c, 6) for c in ("left_accuracy", "right_accuracy")})
+
+
+@query(f"with {_ATTEMPTS} select 'retries' as rule, arm_id || '|' || cell_id as subject from o group by arm_id, cell_id having count(*) > 6 union all select 'budget', 'attempts' from o having count(*) > 1000")
+def comparison_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return comparison.violations(_outcomes(spark, sf)[0], 6, {"attempts": 1000, "tool_calls": 10**12})
+
+
 # --- joins
 
 
