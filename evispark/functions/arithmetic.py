@@ -116,3 +116,23 @@ def derived(kind: str, values: list[str]) -> str:
     else:
         raise ValueError("a difference or ratio takes two values")
     return plain(decimal.Decimal(str(calculate(expression, names)["result"])))
+
+
+def column():
+    """(expression, map of inputs) -> struct(result, inexact, rounded, refused); null gives null, a refused expression its reason."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    kind = pa.struct([("result", pa.string()), ("inexact", pa.bool_()), ("rounded", pa.bool_()), ("refused", pa.string())])
+
+    def run(expressions: pa.Array, inputs: pa.Array) -> pa.Array:
+        out: list[dict | None] = []
+        for expression, named in zip(expressions.to_pylist(), inputs.to_pylist()):
+            try:
+                out.append(None if expression is None else calculate(expression, dict(named or {})) | {"refused": None})
+            except ValueError as error:
+                out.append({"result": None, "inexact": None, "rounded": None, "refused": str(error)})
+        return pa.array(out, kind)
+
+    run.__annotations__ = {"expressions": pa.Array, "inputs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<result:string,inexact:boolean,rounded:boolean,refused:string>")

@@ -357,6 +357,7 @@ _COLUMNS: dict[str, tuple[str, Callable, pa.DataType]] = {
     "literal_spans": ("array<struct<start:int,end:int>>", lambda t, q: [{"start": a, "end": b} for a, b in literal_spans(t, q)], _SPAN),
     "contains_wording": ("boolean", contains_wording, pa.bool_()),
     "contains_number": ("boolean", contains_number, pa.bool_()),
+    "osa_distance": ("int", lambda a, b: osa_distance(a, b, 3), pa.int32()),
     "unique_match": ("struct<wording:string,reason:string>", lambda t, q: dict(zip(("wording", "reason"), unique_match(t, q))), pa.struct([("wording", pa.string()), ("reason", pa.string())])),
 }
 

@@ -158,6 +158,7 @@ _BOUND = _PARTS + ", bd as (select lf.source_id, lf.reference_id, lf.part_no, mi
 _WHOLE = f"with {_PG}, {_CITED}, bd as (select ci.source_id, ci.reference_id, min(page) as page from ci left join pg on pg.source_id = ci.source_id and contains(pg.text, ci.citation) where ci.citation <> '' group by 1, 2)"
 _LN = f"with {_PG}, ln as (select source_id, page, generate_subscripts(l, 1) as line_no, unnest(l) as line from (select source_id, page, string_split(text, chr(10)) as l from pg where text is not null))"
 ORACLE = {
+    **{k: general._P3_TABLES[k] for k in ("support_mix", "answer_observations")},
     "leaf_bindings": _BOUND + " select source_id, reference_id, part_no, page from bd",
     "leaf_defects": _BOUND + " select source_id, reference_id, part_no from bd where page is null",
     "coherent_anchors": _PARTS + ", co as (select lf.source_id, pg.page, reference_id from lf join pg on pg.source_id = lf.source_id where text is not null group by 1, 2, 3 having bool_and(contains(text, value))) select source_id, reference_id, min(page) as page, count(*) as n_pages from co group by 1, 2",

@@ -257,6 +257,56 @@ union all select distinct '{table}', submission_id, answer_no, 'counterpoint', n
 
 
 _P3 = _leaves_sql(SUBMISSIONS["monarch_plus"], True) + " union all " + _leaves_sql(SUBMISSIONS["an_d2"], False)
+
+
+def _items(of: str, name: str) -> str:
+    """The elements of a member as a list; an object or number in place of a list is a list of one."""
+    return f"case json_type({of}, '$.{name}') when 'ARRAY' then from_json(json_extract({of}, '$.{name}'), '[\"JSON\"]') when 'OBJECT' then [json_extract({of}, '$.{name}')] when 'UBIGINT' then [json_extract({of}, '$.{name}')] else [] end"
+
+
+def _text(of: str, name: str) -> str:
+    """The text of a member that is no object and no list."""
+    return f"case when json_type({of}, '$.{name}') in ('OBJECT', 'ARRAY') then null else json_extract_string({of}, '$.{name}') end"
+
+
+def _place(of: str, name: str) -> str:
+    return f"(list_position(json_keys({of}), '{name}') - 1)"
+
+
+_NUMBERS = "('UBIGINT', 'BIGINT', 'DOUBLE')"
+_BODIES = f"""
+with raw as (select '{SUBMISSIONS["monarch_plus"]}' as record_table, submission_id, any_value(body) as body from {SUBMISSIONS["monarch_plus"]} group by all
+  union all select '{SUBMISSIONS["an_d2"]}', submission_id, any_value(body) from {SUBMISSIONS["an_d2"]} group by all),
+v0 as (select record_table, submission_id, cast(body as json) as j from raw where json_valid(body)),
+v1 as (select record_table, submission_id, case when json_type(j) = 'VARCHAR' then cast(json_extract_string(j, '$') as json) else j end as j from v0),
+v2 as (select record_table, submission_id, coalesce(json_extract(j, '$.submission'), j) as j from v1),
+v as (select record_table, submission_id, j, {_items("j", "answers")} as held from v2 where json_extract(j, '$.answers') is not null),
+a as (select record_table, submission_id, generate_subscripts(held, 1) - 1 as answer_no, unnest(held) as a, '0.' || {_place("j", "answers")} as stem from v),
+an as (select record_table, submission_id, cast(answer_no as int) as answer_no, a, stem || '.' || answer_no as dewey from a),
+b0 as (select *, {_items("a", "bases")} as held, dewey || '.' || {_place("a", "bases")} as stem from an),
+b as (select record_table, submission_id, answer_no, dewey as parent, cast(generate_subscripts(held, 1) - 1 as int) as basis_no, unnest(held) as b, stem from b0),
+ba as (select record_table, submission_id, stem || '.' || basis_no as dewey, parent, answer_no, basis_no, {_text("b", "evidence")} as evidence, coalesce({_text("b", "kind")}, {_text("b", "use")}, {_text("b", "role")}) as role,
+       coalesce({_text("b", "unresolved_premise")}, {_text("b", "limitation.unresolved_premise")}, {_text("b", "context.unresolved_premise")}) as unresolved_premise from b)
+"""
+_MEMBERS = ("question_id", "answer", "justification", "unresolved_premise", "stopping_rationale")
+_P3_TABLES = {
+    "p3_submissions": _BODIES + f"select record_table, submission_id, '0' as dewey, {_text('j', 'trial_id')} as trial_id, {_text('j', 'domain_id')} as domain_id, cast({_text('j', 'expected_revision')} as bigint) as expected_revision from v",
+    "p3_answers": _BODIES + "select record_table, submission_id, dewey, '0' as parent, answer_no, " + ", ".join(f"{_text('a', m)} as {m}" for m in _MEMBERS) + " from an",
+    "p3_bases": _BODIES + "select * from ba",
+    "p3_unknowns": _BODIES
+    + f""", u0 as (select *, case json_type(a, '$.unknowns') when 'ARRAY' then from_json(json_extract(a, '$.unknowns'), '["JSON"]') else [] end as held, dewey || '.' || {_place("a", "unknowns")} as stem from an)
+select record_table, submission_id, stem || '.' || unknown_no as dewey, dewey as parent, answer_no, unknown_no, case when json_type(u) in ('OBJECT', 'ARRAY') then null else json_extract_string(u, '$') end as unknown
+from (select record_table, submission_id, answer_no, dewey, stem, cast(generate_subscripts(held, 1) - 1 as int) as unknown_no, unnest(held) as u from u0)""",
+    "p3_counterpoints": _BODIES
+    + f""", c0 as (select *, {_items("a", "counterevidence")} as held, dewey || '.' || {_place("a", "counterevidence")} as stem from an),
+c as (select record_table, submission_id, answer_no, dewey as parent, stem, cast(generate_subscripts(held, 1) - 1 as int) as counterpoint_no, unnest(held) as c from c0)
+select record_table, submission_id, stem || '.' || counterpoint_no as dewey, parent, answer_no, counterpoint_no, case when json_type(c) = 'OBJECT' then {_text("c", "implication")} end as implication,
+  case when json_type(c) = 'OBJECT' then list_transform(list_filter({_items("c", "basis_indexes")}, lambda x: json_type(x) in {_NUMBERS}), lambda x: cast(x as varchar)) when json_type(c) in {_NUMBERS} then [cast(c as varchar)] else [] end as basis_indexes from c""",
+    "support_mix": _BODIES + "select record_table, role, count(*) as n, count(evidence) as n_supported, count(unresolved_premise) as n_open from ba group by 1, 2",
+    "answer_observations": _BODIES
+    + f""", n as (select record_table, submission_id, answer_no, count(*) as n from ba group by 1, 2, 3), t as (select *, {_text("a", "justification")} as said from an)
+select record_table, submission_id, answer_no, sha256(said) as digest, octet_length(encode(said)) as n_bytes, coalesce(n, 0) as n_bases from t left join n using (record_table, submission_id, answer_no)""",
+}
 _P4 = """
 with r as (select replace(lower(trim(kind)), '-', '_') as kind, export_file as file, payload from canonical_records),
 fs as (select kind, file, row_number() over (partition by kind order by file) as seq from (select distinct kind, file from r)),
@@ -283,6 +333,7 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "p2_found": _P2 + "select ref_table, ref_key, ref_no, status, period from orphans",
     "p3_found": _P3,
+    **{k: v for k, v in _P3_TABLES.items() if k.startswith("p3_")},
     "p4_found": _P4,
     "p2_orphan_keys": _P2
     + """, r as (select ref_table, key, count(*) as n_references from refs where key is not null group by 1, 2),
