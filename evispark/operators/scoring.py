@@ -166,7 +166,7 @@ def cluster_interval(clusters: DataFrame, seed: int, replicates: int = 2000) ->
         yield pa.RecordBatch.from_arrays([pa.array([low], pa.float64()), pa.array([high], pa.float64()), pa.array([len(rows)], pa.int64())], ["low", "high", "n_clusters"])
 
     once = clusters.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    return once.coalesce(1).sortWithinPartitions("cluster").mapInArrow(run, "low double, high double, n_clusters long")
+    return once.coalesce(1).sortWithinPartitions("cluster").mapInArrow(run, "low double, high double, n_clusters long").where("n_clusters > 0")  # an empty table may have a task or none
 
 
 def linear_percentile(values: list[float], share: float) -> float:
