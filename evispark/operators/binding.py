@@ -21,10 +21,21 @@ def _hashes(text) -> Column:
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
+def _threes(items, joined) -> Column:
+    """``joined`` of each three neighbours of an array.
+
+    The array is zipped with itself moved by one and two, so it is computed
+    three times and not once for every element.
+    """
+    moved = lambda by: F.slice(items, by + 1, F.greatest(F.size(items), F.lit(1)))
+    pairs = F.zip_with(items, moved(1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    threes = F.zip_with(pairs, moved(2), lambda p, c: joined(p["a"], p["b"], c))
+    return F.slice(threes, 1, F.greatest(F.size(items) - 2, F.lit(0)))
+
+
 def _runs(hashes) -> Column:
     """A hash of each run of three word hashes."""
-    at = F.sequence(F.lit(0), F.size(hashes) - 3)
-    return F.when(F.size(hashes) >= 3, F.transform(at, lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    return _threes(hashes, lambda a, b, c: F.xxhash64(a, b, c))
 
 
 def candidates(values: DataFrame, evidence: DataFrame, keys: list[str], value: list[str], item: list[str]) -> DataFrame:
@@ -40,8 +51,8 @@ def candidates(values: DataFrame, evidence: DataFrame, keys: list[str], value: l
     words = _words(F.col("text"))
     stated = values.where(F.col("text") != "").withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
     stated = stated.withColumns({"hashes": F.transform("inner", lambda w: F.xxhash64(w)), "sizes": F.transform("inner", F.char_length)})
-    length = lambda i: F.get("sizes", i) + F.get("sizes", i + 1) + F.get("sizes", i + 2)
-    run = F.array_max(F.zip_with(F.transform(F.sequence(F.lit(0), F.size("inner") - 3), length), _runs(F.col("hashes")), lambda n, h: F.struct(n.alias("n"), h.alias("h"))))["h"]
+    length = _threes(F.col("sizes"), lambda a, b, c: a + b + c)
+    run = F.array_max(F.zip_with(length, _runs(F.col("hashes")), lambda n, h: F.struct(n.alias("n"), h.alias("h"))))["h"]
     word = F.array_max(F.zip_with("sizes", "hashes", lambda n, h: F.struct(n.alias("n"), h.alias("h"))))["h"]
     stated = stated.select(*keys, *value, F.when(F.size("inner") >= 3, run).when(F.size("inner") >= 1, word).alias("anchor"))
     held = evidence.where(F.col("text").isNotNull()).select(*keys, *item, _hashes(F.col("text")).alias("hashes")).select(*keys, *item, F.explode(F.array_distinct(F.concat("hashes", _runs(F.col("hashes"))))).alias("anchor"))
